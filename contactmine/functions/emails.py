@@ -10,7 +10,6 @@ re-scan a run from each of its characters, are in ``fixed_values``.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +21,7 @@ from contactmine.fixed_values import (
     LOOKALIKE_EXTENSIONS,
     PUNCTUATION,
 )
+from contactmine.functions.text import any_of
 
 _LOCAL = "[a-zA-Z0-9_.+-]"
 _LABEL = "[a-zA-Z0-9-]"
@@ -104,31 +104,29 @@ def idna_email(value: Column) -> Column:
     ).otherwise(value)
 
 
-def _any(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
-
-
-def looks_like_file(domain: Column) -> Column:
-    """The domain ends like a file name (``logo@2x.png``)."""
-    return _any([F.endswith(domain, F.lit(ext)) for ext in LOOKALIKE_EXTENSIONS])
+def looks_like_file(value: Column) -> Column:
+    """The part after the ``@`` ends like a file name (``logo@2x.png``)."""
+    return F.lower(value).rlike(rf"(?s)@.*(?:{any_of(LOOKALIKE_EXTENSIONS)})\z")
 
 
 def looks_like_image(value: Column) -> Column:
-    return value.rlike(r"(?i)\.(" + "|".join(IMAGE_EXTENSIONS) + r")\z")
+    return value.rlike(rf"(?i)\.(?:{any_of(IMAGE_EXTENSIONS)})\z")
 
 
 def digit_after_at(value: Column) -> Column:
     return value.rlike(r"(?U)@\d")
 
 
-def has_forbidden_word(
-    local: Column, domain: Column, words: Sequence[str] = FORBIDDEN_WORDS
-) -> Column:
-    """A word stands anywhere in the local part or the domain."""
-    return _any(
-        [F.contains(part, F.lit(word)) for word in words for part in (local, domain)]
-    )
+def has_forbidden_word(value: Column, words: Sequence[str] = FORBIDDEN_WORDS) -> Column:
+    """A word stands anywhere in the local part or in the domain."""
+    if not words:
+        return F.lit(False)
+    if any("@" in word for word in words):  # must not match across the first @
+        parts = (email_local(value), email_domain(value))
+        return parts[0].rlike(any_of(words)) | parts[1].rlike(any_of(words))
+    return F.lower(value).rlike(any_of(words))
 
 
-def has_forbidden_local(local: Column, words: Sequence[str] = FORBIDDEN_LOCAL_WORDS) -> Column:
-    return _any([F.contains(local, F.lit(word)) for word in words])
+def has_forbidden_local(value: Column, words: Sequence[str] = FORBIDDEN_LOCAL_WORDS) -> Column:
+    """A word stands in the local part."""
+    return email_local(value).rlike(any_of(words)) if words else F.lit(False)

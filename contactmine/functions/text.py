@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,3 +38,12 @@ def normalize_extension(ext: str) -> str:
 def rate(count: Column, elapsed: Column) -> Column:
     """``count / elapsed``, 0 where nothing elapsed."""
     return F.when(elapsed > 0, count / elapsed).otherwise(F.lit(0.0))
+
+
+def any_of(texts: Iterable[str]) -> str:
+    """Java pattern for any of the literal texts."""
+    return "|".join(literal(text) for text in texts)
+
+
+def literal(text: str) -> str:
+    return r"\Q" + text.replace(r"\E", r"\E\\E\Q") + r"\E"

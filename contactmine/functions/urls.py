@@ -76,14 +76,16 @@ def strip_www_chars(host: Column) -> Column:
     return F.ltrim(host, F.lit("w."))
 
 
+# A location, free of look-alike separators, with no brackets or with both kinds.
+_VALID = (
+    rf"^https?://(?=[^/?#])(?![^/?#]*[{NETLOC_LOOKALIKES}])"
+    r"(?:(?![^/?#]*[\[\]])|(?=[^/?#]*\[)(?=[^/?#]*\]))"
+)
+
+
 def is_valid_url(url: Column) -> Column:
     """There is a network location, its brackets pair up, no look-alike separators."""
-    location = netloc(url)
-    return (
-        (location != "")
-        & (F.contains(location, F.lit("[")) == F.contains(location, F.lit("]")))
-        & ~location.rlike(f"[{NETLOC_LOOKALIKES}]")
-    )
+    return url.rlike(_VALID)
 
 
 def netloc_host(location: Column) -> Column:
@@ -95,15 +97,17 @@ def netloc_host(location: Column) -> Column:
     return F.rtrim(F.lower(without_port), F.lit("."))
 
 
+_USER = r"https?://(?:[^/?#]*@)?"
+_HOST = r"(?:\[[^\]/?#]*\]|[^/?#:]*)"
+
+
 def base_url(url: Column) -> Column:
     """``scheme://netloc`` with an internationalised host in ASCII form."""
-    location = netloc(url)
-    user = F.regexp_extract(location, r"^(.*@)", 1)
-    host = F.regexp_extract(location, r"^(?:.*@)?(\[[^\]]*\]|[^:]*)", 1)
-    rest = F.substr(location, F.length(user) + F.length(host) + 1)
-    ascii_location = F.concat(user, to_ascii_host(host), rest)
-    plain = F.regexp_extract(url, r"^(https?://[^/?#]*)", 1)
-    return F.when(
-        location.rlike(r"[^\x00-\x7f]"),
-        F.concat(F.substring_index(url, "://", 1), F.lit("://"), ascii_location),
-    ).otherwise(plain)
+    converted = F.concat(
+        F.regexp_extract(url, rf"^({_USER})", 1),
+        to_ascii_host(F.regexp_extract(url, rf"^{_USER}({_HOST})", 1)),
+        F.regexp_extract(url, rf"^{_USER}{_HOST}([^/?#]*)", 1),
+    )
+    return F.when(url.rlike(r"^https?://[^/?#]*[^\x00-\x7f/?#]"), converted).otherwise(
+        F.regexp_extract(url, r"^(https?://[^/?#]*)", 1)
+    )

@@ -28,23 +28,27 @@ _EXCEPTION = 1 << 20
 _ADDRESS = r"^(\d{1,3}(\.\d{1,3}){3}|\[.*)$"
 
 
-def _labels(host: Column) -> Column:
-    return F.split(host, r"\.")
+def _n_labels(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
 
 
-def _ending(host: Column, start: Column) -> Column:
-    """The host from label number ``start`` (counted from 0) on."""
-    return F.array_join(F.slice(_labels(host), start + 1, F.size(_labels(host))), ".")
+def _last_labels(host: Column, n: Column) -> Column:
+    return F.call_function("substring_index", host, F.lit("."), -n)
 
 
-def _positions(host: Column) -> Column:
-    return F.sequence(F.lit(0), F.size(_labels(host)) - 1)
+def _sizes(host: Column) -> Column:
+    return F.sequence(F.lit(1), _n_labels(host))
+
+
+def _named(host: Column) -> Column:
+    """The host can have a root: it is no IP address."""
+    return (host != "") & ~host.rlike(_ADDRESS)
 
 
 def _root_from_score(host: Column, score: Column) -> Column:
-    """``score`` is minus the suffix's first label number, plus _EXCEPTION for an exception."""
-    start = F.when(score > 0, F.lit(_EXCEPTION) - score + 1).otherwise(-score)
-    return F.when(start > 0, _ending(host, start - 1))
+    """``score`` is the suffix's number of labels, plus _EXCEPTION for an exception."""
+    size = F.when(score > _EXCEPTION // 2, score - _EXCEPTION).otherwise(score)
+    return F.when(_n_labels(host) > size, _last_labels(host, size + 1))
 
 
 def root_domain(host: Column, rules: Sequence[str] = DEFAULT_RULES) -> Column:
@@ -52,38 +56,42 @@ def root_domain(host: Column, rules: Sequence[str] = DEFAULT_RULES) -> Column:
     exact = [r for r in rules if r[:1] not in ("*", "!")]
     any_label = [r[2:] for r in rules if r.startswith("*.")]
     exceptions = [r[1:] for r in rules if r.startswith("!")]
-    scores = F.transform(
-        _positions(host),
-        lambda i: F.when(_ending(host, i).isin(exceptions), F.lit(_EXCEPTION) - i).when(
-            _ending(host, i).isin(exact) | _ending(host, i + 1).isin(any_label), -i
-        ),
-    )
-    root = _root_from_score(host, F.array_max(scores))
-    return F.when((host != "") & ~host.rlike(_ADDRESS), root)
+
+    def score(n: Column) -> Column:
+        ending = _last_labels(host, n)
+        chain = F.when(ending.isin(exact), n)
+        if any_label:
+            chain = F.when(ending.isin(any_label) & (_n_labels(host) > n), n + 1).when(
+                ending.isin(exact), n
+            )
+        if exceptions:
+            chain = F.when(ending.isin(exceptions), n - 1 + _EXCEPTION).otherwise(chain)
+        return chain
+
+    best = F.array_max(F.transform(_sizes(host), score))
+    return F.when(_named(host), _root_from_score(host, best))
 
 
 def match_rules(hosts: DataFrame, rules: DataFrame, host: str = "host") -> DataFrame:
     """Distinct ``[host, root]`` of the hosts that have a root, by an equality join."""
     name = F.col("host")
-    distinct = (
-        hosts.select(F.col(host).alias("host"))
-        .filter((name != "") & ~name.rlike(_ADDRESS))
-        .distinct()
-    )
-    candidates = F.flatten(
-        F.transform(
-            _positions(name),
-            lambda i: F.array(
-                F.struct((-i).alias("score"), _ending(name, i).alias("rule")),
-                F.struct((-i).alias("score"), F.concat(F.lit("*."), _ending(name, i + 1)).alias("rule")),
-                F.struct(
-                    (F.lit(_EXCEPTION) - i).alias("score"),
-                    F.concat(F.lit("!"), _ending(name, i)).alias("rule"),
-                ),
+    distinct = hosts.select(F.col(host).alias("host")).filter(_named(name)).distinct()
+
+    def candidates(n: Column) -> Column:
+        ending = _last_labels(name, n)
+        return F.array(
+            F.struct(n.alias("score"), ending.alias("rule")),
+            F.struct((n + 1).alias("score"), F.concat(F.lit("*."), ending).alias("rule")),
+            F.struct(
+                (n - 1 + _EXCEPTION).alias("score"), F.concat(F.lit("!"), ending).alias("rule")
             ),
         )
+
+    matched = (
+        distinct.select("host", F.inline(F.flatten(F.transform(_sizes(name), candidates))))
+        .join(rules.select("rule"), "rule")
+        .filter((F.col("score") <= _n_labels(name)) | (F.col("score") > _EXCEPTION // 2))
     )
-    matched = distinct.select("host", F.inline(candidates)).join(rules.select("rule"), "rule")
     best = matched.groupBy("host").agg(F.max("score").alias("score"))
     return best.select("host", _root_from_score(name, F.col("score")).alias("root")).filter(
         F.col("root").isNotNull()

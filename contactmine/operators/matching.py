@@ -16,17 +16,19 @@ adaptive execution splits a key that holds a large part of the rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactmine.functions.text import any_of, literal
 from contactmine.operators.settle import settle
 
 LITERAL_LIMIT = 200
 
+# any case, also outside ASCII; "." stops at \\n only
+_WILDCARD_MODE = "(?idu)"
+
 Entries = Sequence[str] | DataFrame
 
 
@@ -47,14 +49,16 @@ def _as_frame(df: DataFrame, entries: Entries) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "entry string")
 
 
-def _any(tests: list[Column]) -> Column:
-    return F.coalesce(reduce(lambda a, b: a | b, tests, F.lit(False)), F.lit(False))
+def _with_test(df: DataFrame, flag: str, key: Column, pattern: str) -> DataFrame:
+    """``flag`` from one pattern; an empty one matches nothing."""
+    found = F.coalesce(key.rlike(pattern), F.lit(False)) if pattern else F.lit(False)
+    return df.withColumn(flag, found)
 
 
 def flag_equal(df: DataFrame, key: Column, entries: Entries, flag: str) -> DataFrame:
     """``flag`` is true where ``key`` is in the list."""
     if _is_literal(entries):
-        return df.withColumn(flag, _any([key.isin(list(entries))] if entries else []))
+        return df.withColumn(flag, F.coalesce(key.isin(list(entries)), F.lit(False)))
     listed = _as_frame(df, entries).select(F.col("entry").alias("_entry"), F.lit(True).alias("_hit"))
     return _join_back(df, key, listed, flag)
 
@@ -67,11 +71,8 @@ def flag_suffix(
     With ``dot_boundary`` the entry has to be the whole key or to follow a dot.
     """
     if _is_literal(entries):
-        if dot_boundary:
-            tests = [(key == e) | F.endswith(key, F.lit("." + e)) for e in entries]
-        else:
-            tests = [F.endswith(key, F.lit(e)) for e in entries]
-        return df.withColumn(flag, _any(tests))
+        start = r"(?:^|\.)" if dot_boundary else ""
+        return _with_test(df, flag, key, entries and rf"{start}(?:{any_of(entries)})\z")
     listed = _as_frame(df, entries)
     if dot_boundary:
         labels = F.split("_key", r"\.")
@@ -87,7 +88,7 @@ def flag_suffix(
 def flag_substring(df: DataFrame, key: Column, entries: Entries, flag: str) -> DataFrame:
     """``flag`` is true where an entry stands anywhere in ``key``."""
     if _is_literal(entries):
-        return df.withColumn(flag, _any([F.contains(key, F.lit(e)) for e in entries]))
+        return _with_test(df, flag, key, any_of(entries))
     listed = _as_frame(df, entries)
     return _flag_by_fragments(df, key, _all_fragments(_usable_lengths(listed)), listed, flag)
 
@@ -99,8 +100,8 @@ def flag_wildcard(df: DataFrame, key: Column, entries: Entries, flag: str) -> Da
     the keys it could match, then its pattern decides.
     """
     if _is_literal(entries):
-        tests = [key.rlike(_java_wildcard(e)) for e in entries]
-        return df.withColumn(flag, _any(tests))
+        found = "|".join(".*".join(map(literal, e.split("*"))) for e in entries)
+        return _with_test(df, flag, key, entries and f"{_WILDCARD_MODE}{found}")
     pieces = F.transform(
         F.split(F.lower("entry"), r"\*"), lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))
     )
@@ -120,12 +121,7 @@ def flag_wildcard(df: DataFrame, key: Column, entries: Entries, flag: str) -> Da
 def wildcard_pattern(entry: Column) -> Column:
     """Java pattern of a wildcard entry: ``*`` → any text, all else literal, any case."""
     quoted = F.regexp_replace(entry, r"([ -)+-/:-@\[-^`{-~])", r"\\$1")
-    return F.concat(F.lit("(?idu)"), F.replace(quoted, F.lit("*"), F.lit(".*")))
-
-
-def _java_wildcard(entry: str) -> str:
-    quoted = re.sub(r"([ -)+-/:-@\[-^`{-~])", r"\\\1", entry)
-    return "(?idu)" + quoted.replace("*", ".*")
+    return F.concat(F.lit(_WILDCARD_MODE), F.replace(quoted, F.lit("*"), F.lit(".*")))
 
 
 def _usable_lengths(listed: DataFrame) -> Column:

@@ -38,21 +38,16 @@ def clean_values(contacts: DataFrame) -> DataFrame:
 
 
 def _strict_reason(value: Column, require_at: bool) -> Column:
-    chain = F.when(E.looks_like_file(E.email_domain(value)), "file_ext")
-    if require_at:
-        chain = F.when(~F.contains(value, F.lit("@")), "no_at").when(
-            E.looks_like_file(E.email_domain(value)), "file_ext"
-        )
-    return chain.when(E.digit_after_at(value), "digit")
+    chain = F.when(F.lit(require_at) & ~F.contains(value, F.lit("@")), "no_at")
+    return chain.when(E.looks_like_file(value), "file_ext").when(E.digit_after_at(value), "digit")
 
 
 def _filtered_reason(
     value: Column, disposable: Column, words: Sequence[str], require_at: bool
 ) -> Column:
-    forbidden = E.has_forbidden_word(E.email_local(value), E.email_domain(value), words)
     return (
         _strict_reason(value, require_at)
-        .when(forbidden, "forbidden")
+        .when(E.has_forbidden_word(value, words), "forbidden")
         .when(disposable, "disposable")
         .otherwise(KEPT)
     )
@@ -92,7 +87,7 @@ def classify_emails(
     flagged = flag_equal(values, _disposable_key(value), disposable, "_disposable")
     return flagged.withColumn(
         "category",
-        F.when(E.has_forbidden_word(E.email_local(value), E.email_domain(value), words), "forbidden")
+        F.when(E.has_forbidden_word(value, words), "forbidden")
         .when(F.col("_disposable"), "disposable")
         .otherwise("valid"),
     ).drop("_disposable")
@@ -170,7 +165,7 @@ def bounded_verdicts(
     )
     flagged = flag_wildcard(flagged, F.when(link, key), blocked, "_blocked")
     reason = (
-        F.when(address & E.has_forbidden_local(E.email_local(key), words), "forbidden")
+        F.when(address & E.has_forbidden_local(key, words), "forbidden")
         .when(F.col("_disposable"), "disposable")
         .when(address & E.looks_like_image(key), "image")
         .when(link & (key == ""), "invalid")

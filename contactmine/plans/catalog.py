@@ -279,7 +279,7 @@ def throughput(spark, sf):
 
 @query
 def email_not_file(spark, sf):
-    return _strict(spark, sf).filter(~E.looks_like_file(E.email_domain(value()))).select("value")
+    return _strict(spark, sf).filter(~E.looks_like_file(value())).select("value")
 
 
 @query
@@ -295,14 +295,14 @@ def email_no_digit_domain(spark, sf):
 
 @query
 def email_forbidden_any(spark, sf):
-    forbidden = E.has_forbidden_word(E.email_local(value()), E.email_domain(value()))
+    forbidden = E.has_forbidden_word(value())
     return _strict(spark, sf).filter(~forbidden).select("value")
 
 
 @query
 def email_forbidden_local(spark, sf):
     values = _values(spark, sf, extract.BOUNDED_EMAILS)
-    return values.filter(~E.has_forbidden_local(E.email_local(value()))).select("value")
+    return values.filter(~E.has_forbidden_local(value())).select("value")
 
 
 @query
