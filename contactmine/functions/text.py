@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,3 +47,12 @@ def any_of(texts: Iterable[str]) -> str:
 
 def literal(text: str) -> str:
     return r"\Q" + text.replace(r"\E", r"\E\\E\Q") + r"\E"
+
+
+def once(expression: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(expression)`` with the expression evaluated one time, however often it is used.
+
+    Catalyst copies an expression into each place that refers to it when it moves a filter
+    below a projection; a lambda variable is not copied.
+    """
+    return F.element_at(F.transform(F.array(expression), use), 1)

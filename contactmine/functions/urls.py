@@ -88,15 +88,6 @@ def is_valid_url(url: Column) -> Column:
     return url.rlike(_VALID)
 
 
-def netloc_host(location: Column) -> Column:
-    """Lower-cased host of a network location: no user info, port or final dots."""
-    without_user = F.substring_index(location, "@", -1)
-    without_port = F.when(F.startswith(without_user, F.lit("[")), without_user).otherwise(
-        F.substring_index(without_user, ":", 1)
-    )
-    return F.rtrim(F.lower(without_port), F.lit("."))
-
-
 _USER = r"https?://(?:[^/?#]*@)?"
 _HOST = r"(?:\[[^\]/?#]*\]|[^/?#:]*)"
 
@@ -111,3 +102,9 @@ def base_url(url: Column) -> Column:
     return F.when(url.rlike(r"^https?://[^/?#]*[^\x00-\x7f/?#]"), converted).otherwise(
         F.regexp_extract(url, r"^(https?://[^/?#]*)", 1)
     )
+
+
+def url_host(url: Column) -> Column:
+    """Lower-cased host: no user info, port or final dots."""
+    host = F.regexp_extract(F.lower(url), rf"^{_USER}({_HOST})", 1)
+    return F.rtrim(host, F.lit("."))

@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactmine.functions.urls import netloc, netloc_host
+from contactmine.functions.text import once
+from contactmine.functions.urls import url_host
 from contactmine.operators.settle import settle
 
 DEFAULT_RULES = [
@@ -57,19 +58,22 @@ def root_domain(host: Column, rules: Sequence[str] = DEFAULT_RULES) -> Column:
     any_label = [r[2:] for r in rules if r.startswith("*.")]
     exceptions = [r[1:] for r in rules if r.startswith("!")]
 
-    def score(n: Column) -> Column:
-        ending = _last_labels(host, n)
+    def score(name: Column, n: Column) -> Column:
+        ending = _last_labels(name, n)
         chain = F.when(ending.isin(exact), n)
         if any_label:
-            chain = F.when(ending.isin(any_label) & (_n_labels(host) > n), n + 1).when(
+            chain = F.when(ending.isin(any_label) & (_n_labels(name) > n), n + 1).when(
                 ending.isin(exact), n
             )
         if exceptions:
             chain = F.when(ending.isin(exceptions), n - 1 + _EXCEPTION).otherwise(chain)
         return chain
 
-    best = F.array_max(F.transform(_sizes(host), score))
-    return F.when(_named(host), _root_from_score(host, best))
+    def root(name: Column) -> Column:
+        best = F.array_max(F.transform(_sizes(name), lambda n: score(name, n)))
+        return F.when(_named(name), once(best, lambda s: _root_from_score(name, s)))
+
+    return once(host, root)
 
 
 def match_rules(hosts: DataFrame, rules: DataFrame, host: str = "host") -> DataFrame:
@@ -102,7 +106,7 @@ def with_domains(
     urls: DataFrame, rules: Sequence[str] | DataFrame = DEFAULT_RULES, column: str = "value"
 ) -> DataFrame:
     """Add ``root`` and ``subdomain`` (the whole host), null where there is no root."""
-    hosted = urls.withColumn("host", netloc_host(netloc(F.col(column))))
+    hosted = urls.withColumn("host", url_host(F.col(column)))
     if isinstance(rules, DataFrame):
         hosted = settle(hosted)  # read by the join and by the bypass of rows without a host
         named = hosted.filter(F.col("host") != "")

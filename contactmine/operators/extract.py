@@ -71,7 +71,7 @@ def extract_contacts(
     else:
         corpus = corpus.filter(column.isNotNull())
     found = [_hits(f, column) for f in finders]
-    hits = found[0] if len(found) == 1 else F.concat(*found)
+    hits = found[0] if len(found) == 1 else F.flatten(F.array(*found))
     return corpus.select(*keep, F.inline(hits))
 
 
