@@ -9,6 +9,7 @@ re-scan a run from each of its characters, are in ``fixed_values``.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -23,21 +24,23 @@ from contactmine.fixed_values import (
 )
 from contactmine.functions.text import any_of
 
-_LOCAL = "[a-zA-Z0-9_.+-]"
-_LABEL = "[a-zA-Z0-9-]"
-_HOST = "[a-zA-Z0-9.-]"
+# Classes list their characters: the regex engine tests those by one table lookup.
+_LETTERS = string.ascii_letters
+_LABEL = rf"[{_LETTERS}{string.digits}\-]"
+_HOST = rf"[{_LETTERS}{string.digits}.\-]"
+_LOCAL = rf"[{_LETTERS}{string.digits}_.+\-]"
 _RUN_START = rf"(?:(?<!{_LOCAL})|\G)"
 
 # The look-ahead checks everything from the "@" on, so the lazy skip to the first
 # permitted start runs at most once per run.  (?U): \b and \w follow Unicode.
-_STRICT_TAIL = rf"@{_LABEL}++\.[a-zA-Z]{{2,}}+\b"
-_STRICT = rf"(?U){_RUN_START}(?={_LOCAL}++{_STRICT_TAIL}){_LOCAL}*?\b({_LOCAL}++{_STRICT_TAIL})"
-_BOUNDED_TAIL = rf"@{_LABEL}++\.{_HOST}++(?![\w.-])"
+_STRICT_TAIL = rf"@{_LABEL}+\.[{_LETTERS}]{{2,}}+\b"
+_STRICT = rf"(?U){_RUN_START}(?={_LOCAL}+{_STRICT_TAIL}){_LOCAL}*?\b({_LOCAL}+{_STRICT_TAIL})"
+_BOUNDED_TAIL = rf"@{_LABEL}+\.{_HOST}++(?![\w.-])"
 _BOUNDED = (
-    rf"(?U){_RUN_START}(?={_LOCAL}++{_BOUNDED_TAIL})"
-    rf"{_LOCAL}*?(?<![\w.-])({_LOCAL}++{_BOUNDED_TAIL})"
+    rf"(?U){_RUN_START}(?={_LOCAL}+{_BOUNDED_TAIL})"
+    rf"{_LOCAL}*?(?<![\w.-])({_LOCAL}+{_BOUNDED_TAIL})"
 )
-_LOOSE = rf"{_RUN_START}({_LOCAL}++@{_LABEL}++\.{_HOST}++)"
+_LOOSE = rf"{_RUN_START}{_LOCAL}+@{_LABEL}+\.{_HOST}+"
 
 
 def _matches(text: Column, pattern: str, group: int) -> Column:
@@ -56,7 +59,7 @@ def bounded_emails(text: Column) -> Column:
 
 def loose_emails(text: Column) -> Column:
     """Addresses with full hosts wherever they stand."""
-    return _matches(text, _LOOSE, 1)
+    return _matches(text, _LOOSE, 0)
 
 
 def custom_emails(text: Column, pattern: str, group: int = 0) -> Column:
@@ -106,11 +109,11 @@ def idna_email(value: Column) -> Column:
 
 def looks_like_file(value: Column) -> Column:
     """The part after the ``@`` ends like a file name (``logo@2x.png``)."""
-    return F.lower(value).rlike(rf"(?s)@.*(?:{any_of(LOOKALIKE_EXTENSIONS)})\z")
+    return F.lower(value).rlike(rf"(?s)@.*{any_of(LOOKALIKE_EXTENSIONS)}\z")
 
 
 def looks_like_image(value: Column) -> Column:
-    return value.rlike(rf"(?i)\.(?:{any_of(IMAGE_EXTENSIONS)})\z")
+    return value.rlike(rf"(?i)\.{any_of(IMAGE_EXTENSIONS)}\z")
 
 
 def digit_after_at(value: Column) -> Column:

@@ -19,15 +19,26 @@ from contactmine.fixed_values import (
 )
 from contactmine.functions.emails import to_ascii_host
 
-# \s misses the four separators below; possessive groups keep the match loop off the stack.
-_SEPARATORS = r"\x1c-\x1f"
-_SEGMENTED = rf"(?U){URL_START}(?:(?!{URL_START})[^{SEGMENTED_STOPS}{_SEPARATORS}])*+"
-_SERVICE = rf"(?U){URL_START}(?:(?!{URL_START})[^{SERVICE_STOPS}{_SEPARATORS}])++"
-_OVERLAPPING = rf"(?=({URL_START}[^{OVERLAPPING_STOPS}]*+))"
+# A link runs over characters that end no link; an "h" only where no other link starts.
+# \s misses the four separators; possessive groups keep the match loop off the stack.
+_SPACE = r"\s\x1c-\x1f"
 
 
-def _trimmed(text: Column, pattern: str, group: int, trail: str, min_length: int = 0) -> Column:
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+def _up_to_next(stops: str) -> str:
+    return rf"(?U){URL_START}(?:[^{stops}{_SPACE}h]++|h(?!ttps?://))"
+
+
+_SEGMENTED = _up_to_next(SEGMENTED_STOPS) + "*+"
+_SERVICE = _up_to_next(SERVICE_STOPS) + "++"
+# Taking only the "h" lets the next match begin inside this one.
+_OVERLAPPING = rf"h(?=(ttps?://[^{OVERLAPPING_STOPS}]*+))"
+
+
+def _found(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+
+def _trimmed(found: Column, trail: str, min_length: int = 0) -> Column:
     links = F.transform(found, lambda u: F.rtrim(u, F.lit(trail)))
     if min_length:
         links = F.filter(
@@ -38,22 +49,23 @@ def _trimmed(text: Column, pattern: str, group: int, trail: str, min_length: int
 
 def segmented_urls(text: Column) -> Column:
     """Links cut at the next link start or stop character."""
-    return _trimmed(text, _SEGMENTED, 0, SEGMENTED_TRAIL)
+    return _trimmed(_found(text, _SEGMENTED), SEGMENTED_TRAIL)
 
 
 def overlapping_urls(text: Column) -> Column:
     """Links read from every link start, across later starts glued to them."""
-    return _trimmed(text, _OVERLAPPING, 1, OVERLAPPING_TRAIL, OVERLAPPING_MIN_LENGTH)
+    found = F.transform(_found(text, _OVERLAPPING, 1), lambda u: F.concat(F.lit("h"), u))
+    return _trimmed(found, OVERLAPPING_TRAIL, OVERLAPPING_MIN_LENGTH)
 
 
 def service_urls(text: Column) -> Column:
     """Segmented links with the wider stop set and the length and dot test."""
-    return _trimmed(text, _SERVICE, 0, SERVICE_TRAIL, SERVICE_MIN_LENGTH)
+    return _trimmed(_found(text, _SERVICE), SERVICE_TRAIL, SERVICE_MIN_LENGTH)
 
 
 def custom_urls(text: Column, pattern: str) -> Column:
     """Whole matches of the caller's (Java) pattern, trimmed and length-tested."""
-    return _trimmed(text, pattern, 0, SERVICE_TRAIL, SERVICE_MIN_LENGTH)
+    return _trimmed(_found(text, pattern), SERVICE_TRAIL, SERVICE_MIN_LENGTH)
 
 
 def netloc(url: Column) -> Column:
@@ -71,15 +83,28 @@ def strip_www(host: Column) -> Column:
     return F.regexp_replace(host, r"^www\.", "")
 
 
+def link_host(url: Column) -> Column:
+    """``strip_www`` of the lower-cased network location, in one pass."""
+    return F.regexp_extract(F.lower(url), r"^https?://(?:www\.)?([^/?#]*)", 1)
+
+
+def has_only_www(url: Column, chars: bool = False) -> Column:
+    """Nothing is left of the location without ``www.`` (with ``chars``: without ``w`` and ``.``)."""
+    cut = "[wW.]*" if chars else r"(?i:www\.)?"
+    return url.rlike(rf"^https?://{cut}(?:[/?#]|\z)")
+
+
 def strip_www_chars(host: Column) -> Column:
     """Drop every leading ``w`` and ``.`` (``www.web.com`` → ``eb.com``)."""
     return F.ltrim(host, F.lit("w."))
 
 
-# A location, free of look-alike separators, with no brackets or with both kinds.
+# An ASCII location without brackets; or else one free of look-alike separators, with no
+# brackets or with both kinds.
 _VALID = (
-    rf"^https?://(?=[^/?#])(?![^/?#]*[{NETLOC_LOOKALIKES}])"
-    r"(?:(?![^/?#]*[\[\]])|(?=[^/?#]*\[)(?=[^/?#]*\]))"
+    r"^https?://(?:[^/?#\[\]\x{80}-\x{10ffff}]++(?:[/?#]|\z)"
+    rf"|(?=[^/?#])(?![^/?#]*[{NETLOC_LOOKALIKES}])"
+    r"(?:(?![^/?#]*[\[\]])|(?=[^/?#]*\[)(?=[^/?#]*\])))"
 )
 
 

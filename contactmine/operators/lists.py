@@ -39,6 +39,17 @@ def substring_entries(entries: Entries) -> Entries:
     return sorted(e for e in plain if e and not e.startswith("#"))
 
 
+def unsearchable_entries(entries: Entries) -> Entries:
+    """The entries ``substring_entries`` leaves out: nothing to search for, like ``*.``.
+
+    Any other entry that equals a host is also found in it.
+    """
+    if isinstance(entries, DataFrame):
+        plain = normalize_entry(F.col("entry"))
+        return entries.select("entry").filter((plain == "") | F.startswith(plain, F.lit("#")))
+    return [e for e in entries if not substring_entries([e])]
+
+
 def suffix_rules(lines: DataFrame, column: str = "value") -> DataFrame:
     """Public-suffix rules ``[rule]``: first word of each line, ``//`` comments dropped."""
     rule = F.lower(F.element_at(F.split(strip(F.col(column)), r"\s+"), 1))

@@ -7,6 +7,9 @@ follows from its hash, so the rows are the same in every run.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +25,14 @@ def _hash_slot(value: Column, slots: Column) -> Column:
 def collect_by_key(
     pairs: DataFrame, keys: list[str], value: str, name: str, max_per_row: int = MAX_PER_ROW
 ) -> DataFrame:
-    """``[*keys, part, name]`` from the distinct ``[*keys, value]`` pairs.
+    """``[*keys, part, name]`` from the distinct ``[*keys, value]`` pairs without nulls.
 
-    Group sizes are counted first.  Only keys over the limit are joined back (there
+    Group sizes are counted first, from the same shuffle.  Only keys over the limit are joined back (there
     are at most pairs / limit of them); adaptive execution broadcasts them when
     they are few and splits the big groups' partitions when not.
     """
-    distinct = pairs.select(*keys, F.col(value).alias("_value")).distinct()
+    whole = reduce(and_, [F.col(column).isNotNull() for column in [*keys, "_value"]])
+    distinct = pairs.select(*keys, F.col(value).alias("_value")).filter(whole).distinct()
     large = (
         distinct.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -47,9 +51,7 @@ def collect_by_key(
 def url_map(base_urls: DataFrame, key: str, max_per_row: int = MAX_PER_ROW) -> DataFrame:
     """``[key, part, urls]`` for base URLs grouped under their root, subdomain or themselves."""
     pairs = base_urls.select(F.col(key).alias("key"), F.col("value").alias("url"))
-    return collect_by_key(
-        pairs.filter(F.col("key").isNotNull()), ["key"], "url", "urls", max_per_row
-    )
+    return collect_by_key(pairs, ["key"], "url", "urls", max_per_row)
 
 
 def mapping_csv_rows(url_map: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def flag_suffix(
     """
     if _is_literal(entries):
         start = r"(?:^|\.)" if dot_boundary else ""
-        return _with_test(df, flag, key, entries and rf"{start}(?:{any_of(entries)})\z")
+        return _with_test(df, flag, key, entries and rf"{start}{any_of(entries)}\z")
     listed = _as_frame(df, entries)
     if dot_boundary:
         labels = F.split("_key", r"\.")

@@ -17,7 +17,7 @@ from contactmine.fixed_values import FORBIDDEN_LOCAL_WORDS, FORBIDDEN_WORDS
 from contactmine.functions import emails as E
 from contactmine.functions import urls as U
 from contactmine.operators.extract import EMAIL, URL
-from contactmine.operators.lists import substring_entries
+from contactmine.operators.lists import substring_entries, unsearchable_entries
 from contactmine.operators.matching import (
     Entries,
     flag_equal,
@@ -29,14 +29,6 @@ from contactmine.operators.matching import (
 KEPT = "kept"
 
 
-def clean_values(contacts: DataFrame) -> DataFrame:
-    """Replace each address by its cleaned form; other kinds stay."""
-    value = F.col("value")
-    return contacts.withColumn(
-        "value", F.when(F.col("kind") == EMAIL, E.clean_email(value)).otherwise(value)
-    )
-
-
 def _strict_reason(value: Column, require_at: bool) -> Column:
     chain = F.when(F.lit(require_at) & ~F.contains(value, F.lit("@")), "no_at")
     return chain.when(E.looks_like_file(value), "file_ext").when(E.digit_after_at(value), "digit")
@@ -93,16 +85,14 @@ def classify_emails(
     ).drop("_disposable")
 
 
-def _link_hosts(value: Column, legacy_www: bool) -> tuple[Column, Column]:
-    """What the substring test and the exact test look at."""
-    host = F.lower(U.netloc(value))
-    without = U.strip_www(host)
-    return (U.strip_www_chars(host) if legacy_www else without), without
+def _part_key(value: Column, legacy_www: bool) -> Column:
+    """What the substring test looks at."""
+    return U.strip_www_chars(F.lower(U.netloc(value))) if legacy_www else U.link_host(value)
 
 
-def _link_reason(value: Column, stripped: Column, part: Column, exact: Column) -> Column:
+def _link_reason(value: Column, part: Column, exact: Column, legacy_www: bool) -> Column:
     return (
-        F.when(~U.is_valid_url(value) | (stripped == ""), "invalid")
+        F.when(~U.is_valid_url(value) | U.has_only_www(value, legacy_www), "invalid")
         .when(part, "blocked_part")
         .when(exact, "blocked_host")
         .otherwise(KEPT)
@@ -116,10 +106,11 @@ def blocklist_verdicts(values: DataFrame, blocked: Entries, legacy_www: bool = F
     instead of one ``www.``.
     """
     value = F.col("value")
-    stripped, without = _link_hosts(value, legacy_www)
-    flagged = flag_substring(values, stripped, substring_entries(blocked), "_part")
-    flagged = flag_equal(flagged, without, blocked, "_exact")
-    reason = _link_reason(value, stripped, F.col("_part"), F.col("_exact"))
+    key = _part_key(value, legacy_www)
+    flagged = flag_substring(values, key, substring_entries(blocked), "_part")
+    exact = blocked if legacy_www else unsearchable_entries(blocked)
+    flagged = flag_equal(flagged, U.link_host(value), exact, "_exact")
+    reason = _link_reason(value, F.col("_part"), F.col("_exact"), legacy_www)
     return flagged.withColumn("reason", reason).drop("_part", "_exact")
 
 
@@ -134,15 +125,14 @@ def advanced_verdicts(
     """``filtered_verdicts`` for addresses and ``blocklist_verdicts`` for links, in one pass."""
     value = F.col("value")
     address, link = F.col("kind") == EMAIL, F.col("kind") == URL
-    stripped, without = _link_hosts(value, legacy_www)
+    key = _part_key(value, legacy_www)
     flagged = flag_equal(values, F.when(address, _disposable_key(value)), disposable, "_disposable")
-    flagged = flag_substring(
-        flagged, F.when(link, stripped), substring_entries(blocked), "_part"
-    )
-    flagged = flag_equal(flagged, F.when(link, without), blocked, "_exact")
+    flagged = flag_substring(flagged, F.when(link, key), substring_entries(blocked), "_part")
+    exact = blocked if legacy_www else unsearchable_entries(blocked)
+    flagged = flag_equal(flagged, F.when(link, U.link_host(value)), exact, "_exact")
     reason = F.when(
         address, _filtered_reason(value, F.col("_disposable"), words, require_at)
-    ).otherwise(_link_reason(value, stripped, F.col("_part"), F.col("_exact")))
+    ).otherwise(_link_reason(value, F.col("_part"), F.col("_exact"), legacy_www))
     return flagged.withColumn("reason", reason).drop("_disposable", "_part", "_exact")
 
 

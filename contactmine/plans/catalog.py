@@ -43,7 +43,7 @@ def _values(spark: SparkSession, sf: str, *finders: extract.Finder) -> DataFrame
 
 def _strict(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct cleaned strict addresses ``[kind, value]``."""
-    return dedup.distinct_values(V.clean_values(_found(spark, sf, extract.STRICT_EMAILS)))
+    return _values(spark, sf, extract.CLEAN_EMAILS)
 
 
 def _links(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,13 +51,13 @@ def _links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _bases(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct base URLs ``[kind, value, root, subdomain]``."""
+    """Distinct base URLs ``[kind, value, n_texts, root, subdomain]``."""
     return extract.urls_of(variants.service_values(D.corpus(spark, sf)))
 
 
 def _contacts(spark: SparkSession, sf: str) -> DataFrame:
     """Cleaned strict addresses and segmented links with their sources."""
-    return V.clean_values(_found(spark, sf, extract.STRICT_EMAILS, extract.SEGMENTED_URLS))
+    return _found(spark, sf, extract.CLEAN_EMAILS, extract.SEGMENTED_URLS)
 
 
 def _verdicts(spark: SparkSession, sf: str) -> DataFrame:

@@ -18,22 +18,22 @@ from contactmine.operators.dedup import distinct_values
 from contactmine.operators.domains import DEFAULT_RULES, with_domains
 from contactmine.operators.extract import (
     BOUNDED_EMAILS,
+    CLEAN_EMAILS,
     EMAIL,
     LOOSE_EMAILS,
     OVERLAPPING_URLS,
     SEGMENTED_URLS,
     SERVICE_URLS,
-    STRICT_EMAILS,
     URL,
     Finder,
     extract_contacts,
+    mapped,
 )
 from contactmine.operators.mapping import MAX_PER_ROW, url_map
 from contactmine.operators.matching import Entries, flag_equal
 from contactmine.operators.verdicts import (
     advanced_verdicts,
     bounded_verdicts,
-    clean_values,
     filtered_verdicts,
     kept,
     strict_verdicts,
@@ -42,20 +42,20 @@ from contactmine.operators.verdicts import (
 MODES = {"root": "root", "subdomain": "subdomain", "all": "value"}
 
 
-def _cleaned_values(corpus: DataFrame, *finders: Finder) -> DataFrame:
-    return distinct_values(clean_values(extract_contacts(corpus, *finders)))
+def _values(corpus: DataFrame, *finders: Finder) -> DataFrame:
+    return distinct_values(extract_contacts(corpus, *finders))
 
 
 def simple(corpus: DataFrame, require_at: bool = True) -> DataFrame:
     """Distinct addresses that are neither file names nor under a numeric host."""
-    return kept(strict_verdicts(_cleaned_values(corpus, STRICT_EMAILS), require_at))
+    return kept(strict_verdicts(_values(corpus, CLEAN_EMAILS), require_at))
 
 
 def filtered(
     corpus: DataFrame, disposable: Entries, words: Sequence[str] = FORBIDDEN_WORDS
 ) -> DataFrame:
     """``simple`` without forbidden words and disposable domains."""
-    return kept(filtered_verdicts(_cleaned_values(corpus, STRICT_EMAILS), disposable, words))
+    return kept(filtered_verdicts(_values(corpus, CLEAN_EMAILS), disposable, words))
 
 
 def advanced_candidates(
@@ -66,7 +66,7 @@ def advanced_candidates(
     legacy_www: bool = False,
 ) -> DataFrame:
     """Distinct addresses and links with the reason each is kept or dropped."""
-    values = _cleaned_values(corpus, STRICT_EMAILS, SEGMENTED_URLS)
+    values = _values(corpus, CLEAN_EMAILS, SEGMENTED_URLS)
     return advanced_verdicts(values, disposable, blocked, words, legacy_www=legacy_www)
 
 
@@ -128,15 +128,17 @@ def service_values(
     email_finder: Finder = LOOSE_EMAILS,
     url_finder: Finder = SERVICE_URLS,
 ) -> DataFrame:
-    """Distinct addresses and base URLs, the latter with ``root`` and ``subdomain``.
+    """Distinct addresses and base URLs with ``n_texts``, the latter with ``root`` and ``subdomain``.
 
     With ``status`` (``[base_url, status]``) only base URLs that answered 200 stay.
     """
-    contacts = extract_contacts(corpus, email_finder, url_finder)
+    contacts = extract_contacts(
+        corpus,
+        mapped(email_finder, E.idna_email),
+        mapped(url_finder, U.base_url, keep=U.is_valid_url),
+    )
     value, address = F.col("value"), F.col("kind") == EMAIL
-    values = contacts.filter(address | U.is_valid_url(value)).select(
-        "kind", F.when(address, E.idna_email(value)).otherwise(U.base_url(value)).alias("value")
-    ).distinct()
+    values = contacts.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_texts"))
     if status is not None:
         alive = status.filter(F.col("status") == 200).select(F.col("base_url").alias("entry"))
         values = flag_equal(values, F.when(F.col("kind") == URL, value), alive, "_alive")
@@ -150,8 +152,9 @@ def service(corpus: DataFrame, mode: str = "root", **options) -> DataFrame:
     if mode == "all":
         return values.select("kind", "value")
     key = F.when(F.col("kind") == EMAIL, F.col("value")).otherwise(F.col(MODES[mode]))
+    # the count keeps this test above the first aggregation, on distinct base URLs
     return (
-        values.withColumn("key", key)
+        values.withColumn("key", F.when(F.col("n_texts") > 0, key))
         .filter(F.col("key").isNotNull())
         .groupBy("kind", "key")
         .agg(F.min("value").alias("value"))

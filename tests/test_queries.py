@@ -7,7 +7,7 @@ from compare import compare, duck
 from pyspark.sql import functions as F
 
 from __spark_entry__ import entry, oracle_sql, queries
-from contactmine.operators import mapping, matching
+from contactmine.operators import matching
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -67,13 +67,11 @@ def test_guard_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<html:string>" in text
 
 
-def test_grouping_reads_its_pairs_once(spark):
-    pairs = spark.read.parquet(f"{FOLDER}/orders.parquet").select(
-        F.col("o_orderpriority").alias("key"), F.col("o_orderkey").cast("string").alias("url")
-    )
-    frame = mapping.collect_by_key(pairs, ["key"], "url", "urls", 10)
+def test_grouping_finds_its_pairs_once(spark):
+    frame = queries()["map_root_urls_split"](spark, FOLDER)
     frame.collect()
-    assert "ReusedExchange" in plan(frame) or plan(frame).count("FileScan") == 1
+    final = plan(frame).split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final and final.count("FileScan parquet") == 6
 
 
 def test_short_lists_need_no_join(spark):
