@@ -92,18 +92,22 @@ def bare_domain(domain: Column) -> Column:
     return F.substring_index(F.substring_index(domain, ":", 1), "/", 1)
 
 
+def has_non_ascii(text: Column) -> Column:
+    return text.rlike(r"[^\x00-\x7f]")
+
+
 def to_ascii_host(host: Column) -> Column:
     """Internationalised host in its ASCII form; unchanged where that fails."""
     ascii_form = F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host)
-    return F.when(host.rlike(r"[^\x00-\x7f]"), F.coalesce(ascii_form, host)).otherwise(host)
+    return F.when(has_non_ascii(host), F.coalesce(ascii_form, host)).otherwise(host)
 
 
 def idna_email(value: Column) -> Column:
     """Address with its host (after the last ``@``) in ASCII form."""
     host = F.substring_index(value, "@", -1)
-    local = F.substr(value, F.lit(1), F.length(value) - F.length(host) - 1)
+    local = F.substr(value, F.lit(1), F.length(value) - F.length(host))
     return F.when(
-        F.contains(value, F.lit("@")), F.concat(local, F.lit("@"), to_ascii_host(host))
+        has_non_ascii(value) & F.contains(value, F.lit("@")), F.concat(local, to_ascii_host(host))
     ).otherwise(value)
 
 

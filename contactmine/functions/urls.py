@@ -17,7 +17,7 @@ from contactmine.fixed_values import (
     SERVICE_TRAIL,
     URL_START,
 )
-from contactmine.functions.emails import to_ascii_host
+from contactmine.functions.emails import has_non_ascii, to_ascii_host
 
 # A link runs over characters that end no link; an "h" only where no other link starts.
 # \s misses the four separators; possessive groups keep the match loop off the stack.
@@ -124,7 +124,7 @@ def base_url(url: Column) -> Column:
         to_ascii_host(F.regexp_extract(url, rf"^{_USER}({_HOST})", 1)),
         F.regexp_extract(url, rf"^{_USER}{_HOST}([^/?#]*)", 1),
     )
-    return F.when(url.rlike(r"^https?://[^/?#]*[^\x00-\x7f/?#]"), converted).otherwise(
+    return F.when(has_non_ascii(url), converted).otherwise(
         F.regexp_extract(url, r"^(https?://[^/?#]*)", 1)
     )
 

@@ -7,7 +7,7 @@ carried past it.  ``pos`` counts the distinct values of one kind in one text.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
@@ -23,12 +23,14 @@ class Finder:
     """``find(text)`` gives the distinct values of ``kind``.
 
     A text without ``marker`` holds no value; the test on the bare column is
-    pushed into the scan, so such texts never reach the regular expression.
+    pushed into the scan, so such texts never reach the regular expression.  With ``key``
+    the rows get a ``key`` column, computed once per value like ``mapped`` changes.
     """
 
     kind: str
     find: Callable[[Column], Column]
     marker: str | None = None
+    key: Callable[[Column], Column] | None = None
 
 
 STRICT_EMAILS = Finder(EMAIL, emails.strict_emails, "@")
@@ -56,7 +58,11 @@ def mapped(
             found = F.filter(found, keep)
         return F.array_distinct(F.transform(found, change))
 
-    return Finder(finder.kind, find, finder.marker)
+    return replace(finder, find=find)
+
+
+def keyed(finder: Finder, key: Callable[[Column], Column]) -> Finder:
+    return replace(finder, key=key)
 
 
 CLEAN_EMAILS = mapped(STRICT_EMAILS, emails.clean_email)
@@ -74,9 +80,10 @@ def _hits(finder: Finder, text: Column) -> Column:
     """Array of ``kind, pos, value`` structs."""
 
     def hit(value: Column, pos: Column) -> Column:
-        return F.struct(
-            F.lit(finder.kind).alias("kind"), pos.alias("pos"), value.alias("value")
-        )
+        fields = [F.lit(finder.kind).alias("kind"), pos.alias("pos"), value.alias("value")]
+        if finder.key is not None:
+            fields.append(finder.key(value).alias("key"))
+        return F.struct(*fields)
 
     return F.transform(finder.find(text), hit)
 

@@ -27,6 +27,7 @@ from contactmine.operators.extract import (
     URL,
     Finder,
     extract_contacts,
+    keyed,
     mapped,
 )
 from contactmine.operators.mapping import MAX_PER_ROW, url_map
@@ -90,14 +91,13 @@ def bounded_candidates(
     trim_trailing_dot: bool = False,
 ) -> DataFrame:
     """One row per address and per link host: first value, its source, and the reason."""
-    contacts = extract_contacts(corpus, BOUNDED_EMAILS, OVERLAPPING_URLS)
-    value, address = F.col("value"), F.col("kind") == EMAIL
+    emails = BOUNDED_EMAILS
     if trim_trailing_dot:
-        contacts = contacts.withColumn(
-            "value", F.when(address, E.trim_trailing_dot(value)).otherwise(value)
-        )
-    keyed = contacts.withColumn("key", F.when(address, value).otherwise(U.host_to_slash(value)))
-    first = keyed.groupBy("kind", "key").agg(
+        emails = mapped(emails, E.trim_trailing_dot)
+    contacts = extract_contacts(
+        corpus, keyed(emails, lambda address: address), keyed(OVERLAPPING_URLS, U.host_to_slash)
+    )
+    first = contacts.groupBy("kind", "key").agg(
         F.min(F.struct("source_id", "pos", "value")).alias("_first")
     )
     return bounded_verdicts(first, disposable, blocked, words, dot_boundary).select(
