@@ -76,13 +76,16 @@ def flag_suffix(
     listed = _as_frame(df, entries)
     if dot_boundary:
         labels = F.split("_key", r"\.")
-        fragments = F.transform(
+        endings = F.transform(
             F.sequence(F.lit(1), F.size(labels)),
             lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
         )
-    else:
-        fragments = F.transform(_usable_lengths(listed), lambda n: F.right(F.col("_key"), n))
-    return _flag_by_fragments(df, key, fragments, listed, flag)
+        return _flag_by_fragments(df, key, lambda keys: _explode(keys, endings), listed, flag)
+    lengths = _lengths(listed)
+    return _flag_by_fragments(
+        df, key, lambda keys: _explode(_per_length(keys, lengths), F.array(_right("_key", "_n"))),
+        listed, flag,
+    )
 
 
 def flag_substring(df: DataFrame, key: Column, entries: Entries, flag: str) -> DataFrame:
@@ -90,7 +93,7 @@ def flag_substring(df: DataFrame, key: Column, entries: Entries, flag: str) -> D
     if _is_literal(entries):
         return _with_test(df, flag, key, any_of(entries))
     listed = _as_frame(df, entries)
-    return _flag_by_fragments(df, key, _all_fragments(_usable_lengths(listed)), listed, flag)
+    return _flag_by_fragments(df, key, _all_fragments(_lengths(listed)), listed, flag)
 
 
 def flag_wildcard(df: DataFrame, key: Column, entries: Entries, flag: str) -> DataFrame:
@@ -109,12 +112,7 @@ def flag_wildcard(df: DataFrame, key: Column, entries: Entries, flag: str) -> Da
         F.array_max(pieces)["p"].alias("entry"), wildcard_pattern(F.col("entry")).alias("_pattern")
     )
     return _flag_by_fragments(
-        df,
-        key,
-        _all_fragments(_usable_lengths(listed)),
-        listed,
-        flag,
-        verify=lambda k: F.rlike(k, F.col("_pattern")),
+        df, key, _all_fragments(_lengths(listed)), listed, flag, pattern="_pattern"
     )
 
 
@@ -124,49 +122,60 @@ def wildcard_pattern(entry: Column) -> Column:
     return F.concat(F.lit(_WILDCARD_MODE), F.replace(quoted, F.lit("*"), F.lit(".*")))
 
 
-def _usable_lengths(listed: DataFrame) -> Column:
-    """The lengths entries have, as an array of those not longer than ``_key``.
+def _lengths(listed: DataFrame) -> list[int]:
+    """The lengths entries have: a few dozen numbers, however long the list is."""
+    return sorted(r.n for r in listed.select(F.length("entry").alias("n")).distinct().collect())
+
+
+def _per_length(keys: DataFrame, lengths: list[int]) -> DataFrame:
+    """Each key once per length not above its own, as ``_n``."""
+    given = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
+    usable = F.filter(given, lambda n: n <= F.length("_key"))
+    return keys.select("_id", "_key", F.explode(usable).alias("_n"))
 
-    Runs one small job; it returns a few dozen numbers however long the list is.
-    """
-    rows = listed.select(F.length("entry").alias("n")).distinct().collect()
-    lengths = F.array(*[F.lit(n) for n in sorted(r.n for r in rows)]).cast("array<int>")
-    return F.filter(lengths, lambda n: n <= F.length("_key"))
-
-
-def _all_fragments(lengths: Column) -> Column:
-    key = F.col("_key")
-    return F.flatten(
-        F.transform(
-            lengths,
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.length(key) - n + 1), lambda i: F.substring(key, i, n)
-            ),
-        )
-    )
+
+def _right(key: str, n: str) -> Column:
+    return F.right(F.col(key), F.col(n))
+
+
+def _explode(keys: DataFrame, fragments: Column) -> DataFrame:
+    return keys.select("_id", F.explode(F.array_distinct(fragments)).alias("_fragment"))
+
+
+def _all_fragments(lengths: list[int]) -> Callable[[DataFrame], DataFrame]:
+    """All fragments of the given lengths, by one linear pass over the key per length."""
+    every = F.concat(F.lit(r"(?s)(?![\x{dc00}-\x{dfff}])(?=(.{"), F.col("_n"), F.lit("}))"))
+    found = F.regexp_extract_all("_key", every, F.lit(1))
+    return lambda keys: _explode(_per_length(keys, lengths), found)
 
 
 def _flag_by_fragments(
     df: DataFrame,
     key: Column,
-    fragments: Column,
+    cut: Callable[[DataFrame], DataFrame],
     listed: DataFrame,
     flag: str,
-    verify: Callable[[Column], Column] | None = None,
+    pattern: str | None = None,
 ) -> DataFrame:
+    """Flag keys with a fragment in the list whose ``pattern``, if any, is found in the key.
+
+    Fragments carry a short name of their key, so that a very long key is not repeated.
+    """
     df = settle(df)  # read twice: for its keys and for the join back
-    keys = df.select(key.alias("_key")).filter(F.col("_key").isNotNull()).distinct()
-    cut = keys.select("_key", F.explode(F.array_distinct(fragments)).alias("_fragment"))
-    condition = F.col("_fragment") == F.col("entry")
-    if verify is not None:
-        condition = condition & verify(F.col("_key"))
-    hits = (
-        cut.join(listed, condition, "left_semi")
-        .select(F.col("_key").alias("_entry"))
-        .distinct()
-        .withColumn("_hit", F.lit(True))
+    whole = F.col("_key")
+    digest = F.concat(F.lit("\x00"), F.sha2(whole, 256))
+    keys = (
+        df.select(key.alias("_key")).filter(whole.isNotNull()).distinct()
+        .withColumn("_id", F.when(F.length(whole) <= 64, whole).otherwise(digest))
     )
-    return _join_back(df, key, hits, flag)
+    listed_fragment = F.col("_fragment") == F.col("entry")
+    if pattern is None:
+        found = cut(keys).join(listed, listed_fragment, "left_semi").select("_id").distinct()
+        hits = keys.join(found, "_id", "left_semi")
+    else:
+        pairs = cut(keys).join(listed, listed_fragment).select("_id", pattern).distinct()
+        hits = keys.join(pairs, "_id").filter(F.rlike(whole, F.col(pattern))).select("_key").distinct()
+    return _join_back(df, key, hits.select(whole.alias("_entry"), F.lit(True).alias("_hit")), flag)
 
 
 def _join_back(df: DataFrame, key: Column, hits: DataFrame, flag: str) -> DataFrame:

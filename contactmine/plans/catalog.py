@@ -411,14 +411,12 @@ def url_reason(spark, sf):
 
 @query
 def url_live_only(spark, sf):
-    bases = _bases(spark, sf).select("value")
-    return liveness.live_only(bases, D.status(bases))
+    return liveness.live_only(_bases(spark, sf).select("value"), D.status(spark, sf))
 
 
 @query
 def url_dead_log(spark, sf):
-    bases = _bases(spark, sf).select("value")
-    return liveness.dead_log(bases, D.status(bases))
+    return liveness.dead_log(_bases(spark, sf).select("value"), D.status(spark, sf))
 
 
 # --- distinct, first sightings, differences ------------------------------------------------
@@ -641,5 +639,4 @@ def contacts_service_all(spark, sf):
 def contacts_service_live(spark, sf):
     """All base URLs that answered, of the sources an earlier run did not see."""
     corpus = dedup.skip_processed(D.corpus(spark, sf), D.ledger(spark, sf), "source_id")
-    alive = D.status(_bases(spark, sf).select("value"))
-    return variants.service(corpus, "all", status=alive)
+    return variants.service(corpus, "all", status=D.status(spark, sf))

@@ -174,8 +174,8 @@ bases = {
 service_emails = {**loose, "e": "SELECT DISTINCT value FROM loose"}
 LEDGER = """SELECT DISTINCT 'cust-' || CAST(o_custkey AS VARCHAR) AS source_id FROM orders
  WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'"""
-STATUS = """SELECT value AS base_url, CASE WHEN starts_with(value, 'https://') THEN 200
-  WHEN ends_with(value, '.com') THEN 404 ELSE 503 END AS status FROM b WHERE NOT contains(value, 'localhost')"""
+STATUS = """SELECT DISTINCT regexp_extract(url, '^(https?://[^/?#]*)', 1) AS base_url,
+ CASE WHEN starts_with(url, 'https://') THEN 200 ELSE 404 END AS status FROM pages"""
 FILES = f"SELECT {D.FILE_PATH} AS path FROM documents"
 EXT = r"lower(regexp_extract(path, '[^/.][^/]*(\.[^./]*)$', 1))"
 LINES = f"SELECT {D.LIST_LINE} AS line FROM pages"

@@ -107,14 +107,12 @@ def ledger(spark: SparkSession, sf: str) -> DataFrame:
     ).distinct()
 
 
-def status(base_urls: DataFrame) -> DataFrame:
-    """Probe results ``[base_url, status]``: encrypted hosts answer, plain ``.com`` ones fail."""
-    value = F.col("value")
-    return base_urls.filter(~F.contains(value, F.lit("localhost"))).select(
-        value.alias("base_url"),
-        F.when(F.startswith(value, F.lit("https://")), 200)
-        .when(F.endswith(value, F.lit(".com")), 404).otherwise(503).alias("status"),
-    )
+def status(spark: SparkSession, sf: str) -> DataFrame:
+    """Probe results ``[base_url, status]`` of the page hosts: encrypted ones answer."""
+    base = F.regexp_extract("url", r"^(https?://[^/?#]*)", 1)
+    return table(spark, sf, "pages").select(
+        base.alias("base_url"), F.when(F.startswith("url", F.lit("https://")), 200).otherwise(404).alias("status")
+    ).distinct()
 
 
 def segment_domains(spark: SparkSession, sf: str) -> DataFrame:

@@ -20,7 +20,7 @@ def hosts(count=300):
     return [".".join(pick.choices(parts, k=pick.randint(1, 4))) for _ in range(count)]
 
 
-HOSTS = [*hosts(), "", None, "A.gov", "a[b"]
+HOSTS = [*hosts(), "", None, "A.gov", "a[b", "x" * 500 + "web.gov" + "y" * 500 + ".shop.co", "é😀web", "m" * 100]
 ENTRIES = ["web", ".gov", "shop.co", "mail", "w.a", "zzz", "uk", "a[b", "longer-than-any-host-name"]
 PATTERNS = ["*.gov", "w*p", "Mail.*.uk", "a[b", "co.uk", "zz*"]
 
