@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from contactmine.operators.dedup import new_values, skip_processed
 from contactmine.operators.extract import emails_of, urls_of
-from contactmine.operators.settle import settle
 from contactmine.operators.summary import count_by_reason
 from contactmine.operators.verdicts import kept
 from contactmine.sinks.tables import (
@@ -71,7 +70,8 @@ def run(
 
     ``find`` takes ``[source_id, text]`` to ``[kind, value]`` with an optional ``reason``
     (only ``kept`` values are written, all are counted) and an optional ``source_id``:
-    one of ``plans.variants`` with its lists filled in.  Under ``out``: ``emails`` and
+    one of ``plans.variants`` with its lists filled in.  Under ``out``: ``candidates``
+    (parquet, what ``find`` gave in this run; all later steps read that), ``emails`` and
     ``urls`` (text), ``provenance`` (CSV, with ``source_id``), ``summary`` (JSON, with
     ``reason``, this run's counts), ``bad_sources`` and ``ledger`` (parquet).  After a
     crash ``provenance`` and ``bad_sources`` can hold a line twice; the others cannot.
@@ -81,16 +81,17 @@ def run(
     texts = ingest(spark, root, include, exclude, **ingest_options)
     ledger = _existing(spark.read.parquet, f"{out}/ledger")
     if ledger is not None:
-        files = settle(skip_processed(files, ledger))
+        files = skip_processed(files, ledger)
         texts = _texts_of(texts, files, ledger)
 
-    found = settle(find(texts.filter(F.col("text").isNotNull()).select("source_id", "text")))
+    readable = texts.filter(F.col("text").isNotNull()).select("source_id", "text")
+    find(readable).write.mode("overwrite").parquet(f"{out}/candidates")
+    found = spark.read.parquet(f"{out}/candidates")
     values = kept(found) if "reason" in found.columns else found
     for name, part in (("emails", emails_of(values)), ("urls", urls_of(values))):
         written = _existing(spark.read.text, f"{out}/{name}")
         fresh = part if written is None else new_values(part, written)
         if "source_id" in found.columns:
-            fresh = settle(fresh)
             write_provenance(fresh, f"{out}/provenance")
         write_values(fresh, f"{out}/{name}")
     if "reason" in found.columns:
