@@ -26,7 +26,7 @@ from contactmine.operators.settle import settle
 
 LITERAL_LIMIT = 200
 
-# any case, also outside ASCII; "." stops at \\n only
+# any case, also outside ASCII; "." stops at line feeds only
 _WILDCARD_MODE = "(?idu)"
 
 Entries = Sequence[str] | DataFrame
