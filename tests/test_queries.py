@@ -6,7 +6,9 @@ import pytest
 from compare import compare, duck
 from pyspark.sql import functions as F
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from contactmine.plans.catalog import QUERIES
+from contactmine.plans.oracles import ORACLES
 from contactmine.operators import matching
 
 FOLDER = "/root/testdata/sf0.001"
@@ -18,12 +20,12 @@ def connection():
 
 
 def test_every_query_has_a_twin():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, connection, name):
-    _, difference = compare(spark, connection, FOLDER, queries()[name], oracle_sql()[name])
+    _, difference = compare(spark, connection, FOLDER, QUERIES[name], ORACLES[name])
     assert not difference
 
 
@@ -35,9 +37,9 @@ def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_no_cross_product_no_single_task(spark, name):
-    text = plan(queries()[name](spark, FOLDER))
+    text = plan(QUERIES[name](spark, FOLDER))
     for word in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin", "Window"):
         assert word not in text
     # only the one-row totals of whole runs meet in one task
@@ -56,19 +58,19 @@ def test_no_python_no_cross_product_no_single_task(spark, name):
     ],
 )
 def test_shuffles(spark, name, exchanges):
-    frame = queries()[name](spark, FOLDER)
+    frame = QUERIES[name](spark, FOLDER)
     assert len(re.findall(r"\bExchange\b", plan(frame))) == exchanges
     assert plan(frame).count("FileScan parquet") == 6  # one scan of each text
 
 
 def test_guard_and_columns_reach_the_scan(spark):
-    text = plan(queries()["contacts_simple"](spark, FOLDER))
+    text = plan(QUERIES["contacts_simple"](spark, FOLDER))
     assert "StringContains(text,@)" in text and "StringContains(html,@)" in text
     assert "ReadSchema: struct<html:string>" in text
 
 
 def test_grouping_finds_its_pairs_once(spark):
-    frame = queries()["map_root_urls_split"](spark, FOLDER)
+    frame = QUERIES["map_root_urls_split"](spark, FOLDER)
     frame.collect()
     final = plan(frame).split("== Initial Plan ==")[0]
     assert "ReusedExchange" in final and final.count("FileScan parquet") == 6
