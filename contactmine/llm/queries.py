@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from contactmine.llm import decontamination, exact, language, records, secrets, simhash, warc
+from contactmine.llm import decontamination, exact, language, licenses, records, secrets, simhash, warc
 from contactmine.llm.common import LOWER, UPPER, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive(table(spark, folder, "pages"))
 
 
+def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -43,7 +47,7 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        op1_exact_dedup, op2_language, op3_warc, op5_decontamination, op7_simhash_dedup, op8_records,
+        op1_exact_dedup, op2_language, op3_warc, op4_licenses, op5_decontamination, op7_simhash_dedup, op8_records,
         op10_secrets,
     )
 }
