@@ -46,3 +46,9 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(
         F.translate(text, UPPER, LOWER)
     )
+
+
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row, however many expressions use it:
+    those in lambdas and conditions would else each compute it again."""
+    return df.select("*", F.explode(F.array(value)).alias(name))

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactmine.llm.common import ascii_lower, texts
+from contactmine.llm.common import ascii_lower, computed, texts
 from contactmine.llm.literals import literal
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -135,12 +135,11 @@ def _scored(df: DataFrame, weights: dict[str, float]) -> DataFrame:
     aligned = F.transform(templates, lambda t: F.struct(
         t.label.alias("label"), F.when(F.col("spaced").contains(F.concat(F.lit(" "), t.phrase, F.lit(" "))), share(t, _votes(starts(t)))).otherwise(0.0).alias("share"),
     ))
-    return (
-        df.withColumn("words", F.when(guard, words))
-        .withColumn("rare", F.when(F.col("words").isNotNull(), rare))
-        .withColumn("hits", F.when(F.col("words").isNotNull(), hits))
-        .withColumn("matched", F.when(F.col("words").isNotNull(), F.filter(aligned, lambda x: x.share >= SIMILARITY)))
-    )
+    some = F.col("words").isNotNull()
+    df = computed(df, "words", F.when(guard, words))
+    df = computed(df, "rare", F.when(some, rare))
+    df = computed(df, "hits", F.when(some, hits))
+    return computed(df, "matched", F.when(some, F.filter(aligned, lambda x: x.share >= SIMILARITY)))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -150,7 +149,7 @@ def scan(docs: DataFrame) -> DataFrame:
     share of a template's words that stand in its order, 0 without any. Null and empty texts
     have no words; rows that repeat, or lack an id, are each scanned. An empty table gives
     an empty result; other columns are ignored."""
-    rows = texts(docs).select("doc_id", _spaced(ascii_lower(F.col("text"))).alias("spaced"))
+    rows = computed(texts(docs), "spaced", _spaced(ascii_lower(F.col("text")))).drop("text")
     scored = _scored(_base(rows), _weights(rows))
     more = F.coalesce(F.transform("matched", lambda x: x.label), F.array().cast("array<string>"))
     best = F.coalesce(F.array_max(F.transform("matched", lambda x: x.share)), F.lit(0.0))
