@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from contactmine.llm import decontamination, exact, language, licenses, records, secrets, simhash, warc
+from contactmine.llm import bpe, decontamination, exact, language, licenses, records, secrets, simhash, warc
 from contactmine.llm.common import LOWER, UPPER, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,11 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.round_trip(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op7_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -47,7 +52,7 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        op1_exact_dedup, op2_language, op3_warc, op4_licenses, op5_decontamination, op7_simhash_dedup, op8_records,
+        op1_exact_dedup, op2_language, op3_warc, op4_licenses, op5_decontamination, op6_bpe, op7_simhash_dedup, op8_records,
         op10_secrets,
     )
 }
