@@ -203,7 +203,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int = FREQUENT) -> DataFrame:
-    """``[doc_id, n_tokens, ids_sha256, decoded_sha256]`` of every row.
+    """``[doc_id, n_tokens, ids_sha256, decoded_sha256, ids]`` of every row.
 
     Null and empty texts have no ids and decode to nothing. Rows that repeat, or lack an id, are
     each encoded. An empty table gives an empty result; other columns are ignored."""
@@ -211,5 +211,5 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent:
     commas = F.length("ids") - F.length(F.replace("ids", F.lit(","), F.lit("")))
     return decoded.select(
         "doc_id", F.when(F.col("ids") == "", 0).otherwise(commas + 1).cast("bigint").alias("n_tokens"),
-        F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids",
     )

@@ -52,3 +52,25 @@ def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with a column that is computed once a row, however many expressions use it:
     those in lambdas and conditions would else each compute it again."""
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def bitmap_of(keys: DataFrame, column: str, bits: int) -> DataFrame:
+    """``[part, bits]``: a bitmap with the bits set that the low ``bits`` bits of the keys name, in rows
+    of 4 KB: 2^(bits - 3) bytes in all, whatever the input."""
+    slot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1)) + 1
+    return (
+        keys.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    )
+
+
+def in_bitmap(rows: DataFrame, column: str, bitmap: DataFrame, bits: int, inside: bool = True) -> DataFrame:
+    """The rows whose key may be among the bitmap's keys, or those whose key is not. The rows stay
+    in their tasks; the bitmap, of fixed size, goes to each."""
+    slot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1)) + 1
+    place = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    parts = bitmap.select(F.col("part").alias("_part"), F.col("bits").alias("_bits"))
+    marked = rows.withColumn("_part", F.bitmap_bucket_number(slot)).join(F.broadcast(parts), "_part", "left")
+    return marked.where(is_set if inside else ~is_set).drop("_part", "_bits")

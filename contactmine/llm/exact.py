@@ -16,10 +16,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactmine.llm.common import ascii_lower, saved, texts
+from contactmine.llm.common import ascii_lower, bitmap_of, in_bitmap, saved, texts
 
 CAPACITY = 1 << 16
 FILTER_BITS = 22
@@ -59,25 +59,6 @@ def build_index(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def _bit(bits: Column, place: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bits, (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, (place % 8).cast("int")) == 1
-
-
-def _chained(rows: DataFrame, index: DataFrame, filter_bits: int) -> DataFrame:
-    """The rows whose key more than one row bears, and some others.
-
-    The bitmap has 2^filter_bits bits in rows of 4 KB whatever the input: 0.5 MB for 22."""
-    slot = F.col("h").bitwiseAND(F.lit((1 << filter_bits) - 1))
-    bitmap = (
-        index.where("n > 1").select(slot.alias("slot"))
-        .groupBy(F.bitmap_bucket_number("slot").alias("part"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    )
-    marked = rows.withColumn("part", F.bitmap_bucket_number(slot))
-    return marked.join(F.broadcast(bitmap), "part").where(_bit(F.col("bits"), F.bitmap_bit_position(slot)))
-
-
 def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, filter_bits: int = FILTER_BITS) -> DataFrame:
     """``[doc_id, keep_id, group_size, kept, text_sha256]`` for every row of ``docs``.
 
@@ -90,7 +71,7 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, filter_bits: int
     rows = normal.select("doc_id", "text", F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("text_sha256"))
     index = build_index(rows.select("h"), capacity)
     chains = (
-        _chained(rows, index, filter_bits)
+        in_bitmap(rows, "h", bitmap_of(index.where("n > 1"), "h", filter_bits), filter_bits)
         .groupBy("h", "text")
         .agg(F.max("doc_id").alias("last_id"), F.count("*").alias("n"), F.first("text_sha256").alias("text_sha256"))
         .select("h", "text_sha256", "last_id", "n")

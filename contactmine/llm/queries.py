@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from contactmine.llm import bpe, decontamination, exact, language, licenses, records, secrets, simhash, warc
+from contactmine.llm import bpe, decontamination, exact, language, licenses, records, secrets, simhash, suffixes, warc
 from contactmine.llm.common import LOWER, UPPER, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,7 +35,7 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return bpe.round_trip(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.round_trip(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN).drop("ids")
 
 
 def op7_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op8_records(spark: SparkSession, folder: str) -> DataFrame:
     return records.token_records(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
 def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secrets(table(spark, folder, "documents"))
 
@@ -53,7 +57,7 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_exact_dedup, op2_language, op3_warc, op4_licenses, op5_decontamination, op6_bpe, op7_simhash_dedup, op8_records,
-        op10_secrets,
+        op9_suffix_dedup, op10_secrets,
     )
 }
 
