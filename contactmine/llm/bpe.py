@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,7 +32,7 @@ from contactmine.llm.literals import literal
 SLOTS = 1 << 13
 FREQUENT = 1 << 17
 LONG, SHORT = 200, 64
-KEPT = 200_000
+KEPT = 600_000
 NONE = 2**31 - 1
 # White space of Unicode, as it stands in a character class.
 SPACE = r"\t-\r \x85\xA0  -     　"
@@ -163,9 +164,23 @@ def frequent_pieces(pieces: DataFrame, ranks: Column, limit: int = FREQUENT) ->
     return dict(map(tuple, folded.select("piece", _merged(ranks, _hex(F.col("piece"))).alias("ids")).collect()))
 
 
+class Kept:
+    """The pieces that this worker has met, with their ids, for one run over all its tasks."""
+
+    run, pieces = "", {}
+
+    @classmethod
+    def of(cls, run: str, known: dict[str, str]) -> dict[str, str]:
+        if cls.run != run:
+            cls.run, cls.pieces = run, dict(known)
+        return cls.pieces
+
+
 def _assembler(known: dict[str, str], ranks: dict[bytes, int]):
+    run, met = uuid.uuid4().hex, len(known) + KEPT
+
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, met = dict(known), len(known) + KEPT
+        kept = Kept.of(run, known)
         for batch in batches:
             pieces = batch.column("pieces")
             bounds, flat, found = pieces.offsets.to_pylist(), pieces.values.to_pylist(), []
