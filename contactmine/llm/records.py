@@ -28,7 +28,7 @@ from contactmine.llm.files import Output, read_ranges
 
 END_ID = 1
 MASK = 0xA282EAD8
-CACHED, CACHED_LENGTH = 600_000, 48
+CACHED, CACHED_LENGTH = 1_200_000, 48
 # what never changes how the word before it is cut; no apostrophe, which starts 's and the like
 TAIL = b'.,;:!?"*#$%&|)]}'
 INDEX = "doc_id bigint, part int, file string, offset bigint, length bigint, before bigint, n_tokens bigint"
