@@ -9,10 +9,19 @@ from pyspark.sql import functions as F
 
 from contactmine.fixed_values import WHITESPACE
 
+# two noncharacters, which no text for exchange holds
+_SET_ASIDE = "\U0010ffff\U0010fffe"
+
 
 def decode_ignoring_errors(content: Column) -> Column:
-    """UTF-8 text of ``content`` with undecodable bytes left out."""
-    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
+    """UTF-8 text of ``content`` with undecodable bytes left out.
+
+    A U+FFFD that the content itself holds stays: it is set aside while the broken bytes,
+    which become one, are removed.
+    """
+    mark, broken = F.lit(_SET_ASIDE), F.lit("\ufffd")
+    aside = F.replace(content.cast("string"), broken, mark)
+    return F.replace(F.replace(F.make_valid_utf8(aside), broken, F.lit("")), mark, broken)
 
 
 def strip(value: Column) -> Column:

@@ -99,14 +99,14 @@ def flag_substring(df: DataFrame, key: Column, entries: Entries, flag: str) -> D
 def flag_wildcard(df: DataFrame, key: Column, entries: Entries, flag: str) -> DataFrame:
     """``flag`` is true where an entry, ``*`` standing for any text, is found in ``key``.
 
-    Case is ignored.  For long lists the longest literal piece of an entry selects
-    the keys it could match, then its pattern decides.
+    Case is ignored, of any script.  For long lists the longest literal piece of an entry
+    selects the keys it could match, then its pattern decides, as for short lists.
     """
     if _is_literal(entries):
         found = "|".join(".*".join(map(literal, e.split("*"))) for e in entries)
         return _with_test(df, flag, key, entries and f"{_WILDCARD_MODE}{found}")
     pieces = F.transform(
-        F.split(F.lower("entry"), r"\*"), lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))
+        F.split(_folded(F.col("entry")), r"\*"), lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))
     )
     listed = _as_frame(df, entries).select(
         F.array_max(pieces)["p"].alias("entry"), wildcard_pattern(F.col("entry")).alias("_pattern")
@@ -122,6 +122,12 @@ def wildcard_pattern(entry: Column) -> Column:
     return F.concat(F.lit(_WILDCARD_MODE), F.replace(quoted, F.lit("*"), F.lit(".*")))
 
 
+def _folded(value: Column) -> Column:
+    """One form of all spellings that a pattern of any case takes for the same."""
+    # one right on top of the other, Spark would take the inner one for superfluous
+    return F.lower(F.concat(F.upper(value), F.lit("")))
+
+
 def _lengths(listed: DataFrame) -> list[int]:
     """The lengths entries have: a few dozen numbers, however long the list is."""
     return sorted(r.n for r in listed.select(F.length("entry").alias("n")).distinct().collect())
@@ -173,7 +179,7 @@ def _flag_by_fragments(
         found = cut(keys).join(listed, listed_fragment, "left_semi").select("_id").distinct()
         hits = keys.join(found, "_id", "left_semi")
     else:
-        pairs = cut(keys).join(listed, listed_fragment).select("_id", pattern).distinct()
+        pairs = cut(keys.withColumn("_key", _folded(whole))).join(listed, listed_fragment).select("_id", pattern).distinct()
         hits = keys.join(pairs, "_id").filter(F.rlike(whole, F.col(pattern))).select("_key").distinct()
     return _join_back(df, key, hits.select(whole.alias("_entry"), F.lit(True).alias("_hit")), flag)
 

@@ -99,6 +99,8 @@ def cell_scan_multi_table(spark, sf):
     keys = {
         "pages": "page_id", "documents": "doc_id", "customer": "c_custkey",
         "supplier": "s_suppkey", "part": "p_partkey", "nation": "n_nationkey",
+        "region": "r_regionkey", "orders": "o_orderkey", "lineitem": "l_orderkey",
+        "events": "event_id", "conversations": "conv_id", "benchmark": "item_id",
     }
     found = cells.cells_of_tables({t: (D.table(spark, sf, t), k) for t, k in keys.items()})
     finders = (extract.LOOSE_EMAILS, extract.SEGMENTED_URLS)
@@ -460,8 +462,9 @@ def emails_union_sources(spark, sf):
 
 
 def _exported(spark, sf):
-    earlier = D.cards(spark, sf).join(D.ledger(spark, sf), "source_id", "left_semi")
-    return extract.extract_contacts(earlier, extract.STRICT_EMAILS)
+    # contacts, not texts, meet the ledger
+    found = extract.extract_contacts(D.cards(spark, sf), extract.STRICT_EMAILS)
+    return found.join(D.ledger(spark, sf), "source_id", "left_semi")
 
 
 @query
@@ -525,7 +528,7 @@ def mapping_json(spark, sf):
 @query
 def mapping_csv(spark, sf):
     rows = mapping.mapping_csv_rows(variants.service_map(D.corpus(spark, sf), "subdomain"))
-    return rows.select(F.col("key").alias("Domain/Subdomain"), F.col("urls").alias("URLs"))
+    return rows.select(F.col("key").alias("Domain/Subdomain"), "part", F.col("urls").alias("URLs"))
 
 
 @query

@@ -350,7 +350,7 @@ loose AS ({loose['loose']}) SELECT DISTINCT value FROM loose""",
         **bases, m=_map("root"),
     ),
     "mapping_csv": _with(
-        """SELECT key AS "Domain/Subdomain", string_agg(url, '; ' ORDER BY url) AS "URLs"
+        """SELECT key AS "Domain/Subdomain", part, string_agg(url, '; ' ORDER BY url) AS "URLs"
  FROM m GROUP BY key, part""",
         **bases, m=_map("subdomain"),
     ),
@@ -449,6 +449,12 @@ _ALL_CELLS = {
     "supplier": ("s_suppkey", ["s_name"]),
     "part": ("p_partkey", ["p_name", "p_brand", "p_type"]),
     "nation": ("n_nationkey", ["n_name"]),
+    "region": ("r_regionkey", ["r_name"]),
+    "orders": ("o_orderkey", ["o_orderstatus", "o_orderpriority"]),
+    "lineitem": ("l_orderkey", ["l_returnflag", "l_linestatus"]),
+    "events": ("event_id", ["event_type", "props"]),
+    "conversations": ("conv_id", ["role", "text"]),
+    "benchmark": ("item_id", ["text"]),
 }
 
 

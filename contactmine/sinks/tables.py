@@ -39,8 +39,8 @@ def write_mapping_json(url_map: DataFrame, path: str) -> None:
 
 
 def write_mapping_csv(url_map: DataFrame, path: str) -> None:
-    """``Domain/Subdomain,URLs`` with the URLs joined by ``"; "``."""
-    rows = mapping_csv_rows(url_map).select("key", "urls").toDF(*MAPPING_CSV_HEADER)
+    """``Domain/Subdomain,URLs,part`` with the URLs joined by ``"; "``; a key with very many has several parts."""
+    rows = mapping_csv_rows(url_map).select("key", "urls", "part").toDF(*MAPPING_CSV_HEADER, "part")
     rows.write.mode("overwrite").csv(path, header=True)
 
 

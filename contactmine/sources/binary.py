@@ -103,17 +103,14 @@ def _extension(path: str) -> str:
 
 
 def _files_inside(content: bytes) -> Iterator[tuple[str, int, Callable[[], bytes]]]:
-    """``(name, size, read)`` of the files in a zip or tar; nothing for other content."""
+    """``(name, size, read)`` of the files in a zip or tar; an error for other content."""
     if zipfile.is_zipfile(io.BytesIO(content)):
         archive = zipfile.ZipFile(io.BytesIO(content))
         for info in archive.infolist():
             if not info.is_dir():
                 yield info.filename, info.file_size, lambda i=info: archive.read(i)
         return
-    try:
-        archive = tarfile.open(fileobj=io.BytesIO(content), mode="r:*")
-    except tarfile.ReadError:
-        return
+    archive = tarfile.open(fileobj=io.BytesIO(content), mode="r:*")
     for info in archive:
         if info.isfile():
             yield info.name, info.size, lambda i=info: archive.extractfile(i).read()

@@ -165,9 +165,9 @@ def test_archives(spark, tree):
     members = by_name(binary.expand_archives(frame), "path", "content")
     assert set(members) == {
         "a.zip!/in.txt", "a.zip!/inner.zip!/deep.txt", "a.zip!/inner.zip!/m.eml",
-        "a.tar.gz!/x/in.txt", "a.tar.gz!/o.odt", "cut.gz",
+        "a.tar.gz!/x/in.txt", "a.tar.gz!/o.odt", "cut.gz", "plain.gz", "broken.zip",
     }
-    assert members["cut.gz"] is None  # an error row; plain and broken files hold no members
+    assert members["cut.gz"] is members["plain.gz"] is members["broken.zip"] is None  # error rows
     assert bytes(members["a.zip!/inner.zip!/deep.txt"]) == b"deep@zip.com"
     shallow = by_name(binary.expand_archives(frame, max_depth=1), "path", "error")
     assert shallow["a.zip!/inner.zip"] == "archive nested too deeply"
@@ -188,7 +188,7 @@ def test_ingest(spark, tree):
     }
     errors = by_name(sinks.bad_sources(read), "source_id", "error")
     assert errors.pop("sub/scan.pdf") == "no reader for .pdf"
-    assert set(errors) == {"bad.docx", "cut.gz"}
+    assert set(errors) == {"bad.docx", "cut.gz", "plain.gz", "broken.zip"}
 
 
 def test_ingest_opens_only_the_files_of_each_branch(spark, tree):
@@ -235,7 +235,7 @@ def test_provenance_map_and_ledger_sinks(spark, corpus, tmp_path):
         "key": "x.com", "part": 0, "urls": ["http://a.x.com", "http://b.x.com"]
     }
     sinks.write_mapping_csv(grouped, str(tmp_path / "map"))
-    assert lines_of(tmp_path / "map") == ["Domain/Subdomain,URLs", "x.com,http://a.x.com; http://b.x.com"]
+    assert lines_of(tmp_path / "map") == ["Domain/Subdomain,URLs,part", "x.com,http://a.x.com; http://b.x.com,0"]
     ledger = str(tmp_path / "ledger")
     for path in ("p1", "p2"):
         sinks.append_ledger(spark.createDataFrame([(path,)], "path string"), ledger)

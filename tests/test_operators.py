@@ -20,9 +20,9 @@ def hosts(count=300):
     return [".".join(pick.choices(parts, k=pick.randint(1, 4))) for _ in range(count)]
 
 
-HOSTS = [*hosts(), "", None, "A.gov", "a[b", "x" * 500 + "web.gov" + "y" * 500 + ".shop.co", "é😀web", "m" * 100]
+HOSTS = [*hosts(), "", None, "A.gov", "a[b", "x" * 500 + "web.gov" + "y" * 500 + ".shop.co", "é😀web", "m" * 100, "SPAM-farm.GOV", "\u017fpam", "ÉCOLE.uk"]
 ENTRIES = ["web", ".gov", "shop.co", "mail", "w.a", "zzz", "uk", "a[b", "longer-than-any-host-name"]
-PATTERNS = ["*.gov", "w*p", "Mail.*.uk", "a[b", "co.uk", "zz*"]
+PATTERNS = ["*.gov", "w*p", "Mail.*.uk", "a[b", "co.uk", "zz*", "spam*", "école"]
 
 
 def rule_equal(host, entries):
@@ -62,16 +62,17 @@ CASES = [
 @pytest.mark.parametrize("flag, rule, entries", CASES)
 @pytest.mark.parametrize("form", ["sequence", "frame", "long sequence"])
 def test_matching_equals_brute_force(spark, monkeypatch, flag, rule, entries, form):
-    lower = [h.lower() if h else h for h in HOSTS]
-    df = spark.createDataFrame(list(enumerate(lower)), "i int, host string")
+    # wildcards ignore case, so their keys keep it
+    keys = HOSTS if flag is matching.flag_wildcard else [h.lower() if h else h for h in HOSTS]
+    df = spark.createDataFrame(list(enumerate(keys)), "i int, host string")
     listed = entries
     if form == "frame":
         listed = spark.createDataFrame([(e,) for e in [*entries, *entries]], "entry string")
     elif form == "long sequence":
         monkeypatch.setattr(matching, "LITERAL_LIMIT", 0)
     found = flag(df, F.col("host"), listed, "hit").select("i", "hit").collect()
-    expected = {i: h is not None and rule(h, entries) for i, h in enumerate(lower)}
-    assert {r.i: r.hit for r in found} == expected and len(found) == len(lower)
+    expected = {i: h is not None and rule(h, entries) for i, h in enumerate(keys)}
+    assert {r.i: r.hit for r in found} == expected and len(found) == len(keys)
 
 
 @pytest.mark.parametrize("flag", [c[0] for c in CASES[:5]])

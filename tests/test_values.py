@@ -99,3 +99,8 @@ def test_texts(apply, spark):
     assert raw.select(T.decode_ignoring_errors(F.col("c")).alias("t")).first().t == "john@x.com "
     rates = spark.createDataFrame([(6, 2.0), (6, 0.0)], "n int, s double")
     assert [r[0] for r in rates.select(T.rate(F.col("n"), F.col("s"))).collect()] == [3.0, 0.0]
+
+
+def test_replacement_characters_of_the_text_stay(spark):
+    raw = spark.createDataFrame([(bytearray("ab\ufffdcd@x.com".encode() + b"\xff!"),)], "c binary")
+    assert raw.select(T.decode_ignoring_errors(F.col("c")).alias("t")).first().t == "ab\ufffdcd@x.com!"
