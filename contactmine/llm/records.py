@@ -2,8 +2,8 @@
 
 A frame is the payload's length (unsigned 64 bits), the masked CRC-32 of those eight bytes, the
 payload, and its masked CRC-32; all numbers are little-endian. The payload is one document:
-whether it has an id, the id, the number of ids before it in its file, then its token ids as
-unsigned 32-bit integers. The mask (rotated right by 15, plus a constant) keeps the checksum of
+whether it has an id, the id, the number of ids before it in its file, the bytes of a token id
+(2, or 4 for vocabularies beyond 65,536), then its token ids. The mask (rotated right by 15, plus a constant) keeps the checksum of
 data that holds checksums from being trivial.
 
 Files are in ascending doc_id order, one per range of ids; the index, a table of its own, has
@@ -19,6 +19,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ CACHED, CACHED_LENGTH = 1_200_000, 48
 # what never changes how the word before it is cut; no apostrophe, which starts 's and the like
 TAIL = b'.,;:!?"*#$%&|)]}'
 INDEX = "doc_id bigint, part int, file string, offset bigint, length bigint, before bigint, n_tokens bigint"
-HEAD = "<?qq"
+HEAD = "<?qqB"
 
 
 def masked(data: bytes) -> int:
@@ -67,6 +68,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -77,8 +79,13 @@ class Encoder:
 
     def _learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """Ids of the pieces, by the library; all but long ones are kept while there is room."""
-        made = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        new = {p: array("I", x.ids).tobytes() for p, x in zip(pieces, made)}
+        cut, kind = self.tokenizer.model.tokenize, self.kind
+        # a word of a-z alone is what the model gets in the end: nothing to normalise or to split
+        plain = [p for p in pieces if p.isalpha() and p.islower()]
+        new = {p: array(kind, [t.id for t in cut(p.decode())]).tobytes() for p in plain}
+        rest = [p for p in pieces if p not in new]
+        made = self.tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False)
+        new |= {p: array(kind, x.ids).tobytes() for p, x in zip(rest, made)}
         self._keep(new)
         return new
 
@@ -87,9 +94,11 @@ class Encoder:
             self.known.update((p, ids) for p, ids in new.items() if len(p) <= CACHED_LENGTH)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+        """The ids of each text as little-endian unsigned integers of 16 bits, or 32 for larger vocabularies."""
         known, split = self.known, [t.split() for t in texts]
-        missing = {p for pieces in split for p in pieces} - known.keys()
+        missing: set[bytes] = set()
+        for pieces in split:
+            missing.update([p for p in pieces if p not in known])
         parts = {}
         for p in missing:
             low = p if b"<|" in p else p.lower()  # a special token counts as it is written
@@ -101,23 +110,27 @@ class Encoder:
         new |= self._learn(list(needed - new.keys()))
         joined = {p: b"".join([new[q] for q in qs]) for p, qs in parts.items()}
         self._keep(joined)
-        if not joined:
-            return [b"".join([known[p] for p in pieces]) for pieces in split]
-        return [b"".join([joined[p] if p in joined else known[p] for p in pieces]) for pieces in split]
+        out = []
+        for pieces in split:
+            try:
+                out.append(b"".join([known[p] for p in pieces]))
+            except KeyError:  # a long piece, or no room for it
+                out.append(b"".join([joined[p] if p in joined else known[p] for p in pieces]))
+        return out
 
 
 def _writer(folder: str, tokenizer: str):
-    end = struct.pack("<I", END_ID)
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, before = None, 0
         for batch in batches:
-            encoded, rows = Encoder.of(tokenizer).encode(batch.column("text").cast(pa.binary()).to_pylist()), []
+            encoder, rows = Encoder.of(tokenizer), []
+            width, end = array(encoder.kind).itemsize, array(encoder.kind, [END_ID]).tobytes()
+            encoded = encoder.encode(batch.column("text").cast(pa.binary()).to_pylist())
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded):
                 out, ids = out or Output(folder, ".rec"), ids + end
-                offset, length = out.append(frame(struct.pack(HEAD, doc_id is not None, doc_id or 0, before) + ids))
-                rows.append((doc_id, out.part, out.path, offset, length, before, len(ids) // 4))
-                before += len(ids) // 4
+                offset, length = out.append(frame(struct.pack(HEAD, doc_id is not None, doc_id or 0, before, width) + ids))
+                rows.append((doc_id, out.part, out.path, offset, length, before, len(ids) // width))
+                before += len(ids) // width
             names = ("doc_id", "part", "file", "offset", "length", "before", "n_tokens")
             types = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             columns = list(zip(*rows)) or [()] * len(names)
@@ -148,8 +161,8 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for row, data in zip(rows, read_ranges([(r["file"], r["offset"], r["length"]) for r in rows])):
             payload = unframe(data)
-            has_id, doc_id, before = struct.unpack_from(HEAD, payload)
-            ids = payload[struct.calcsize(HEAD):]
+            has_id, doc_id, before, width = struct.unpack_from(HEAD, payload)
+            ids = np.frombuffer(payload, f"<u{width}", offset=struct.calcsize(HEAD)).astype("<u4").tobytes()
             out.append((doc_id if has_id else None, row["start"] - row["before"] + before, ids))
         doc_ids, starts, ids = list(zip(*out)) or [()] * 3
         yield pa.RecordBatch.from_arrays(
@@ -158,7 +171,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_records(index: DataFrame, seed: int | None = None) -> DataFrame:
-    """``[doc_id, start, ids]`` (ids as written, in bytes) of the records that ``index`` lists: in file
+    """``[doc_id, start, ids]`` (ids as little-endian unsigned 32-bit integers) of the records that ``index`` lists: in file
     order, or shuffled by ``seed``. Every checksum is verified; a damaged record fails the read."""
     spark = index.sparkSession
     wanted = index.select("doc_id", "part", "file", "offset", "length", "before", "start")
