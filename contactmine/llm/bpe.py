@@ -22,6 +22,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -155,12 +156,19 @@ def _hex(piece: Column) -> Column:
     return F.hex(piece.cast("binary"))
 
 
-def frequent_pieces(pieces: DataFrame, ranks: Column, limit: int = FREQUENT) -> dict[str, str]:
-    """Ids of the ``limit`` commonest of all ``[piece]``, each folded once."""
-    short = pieces.where(F.octet_length("piece") <= LONG)
-    # those that a single task meets once or twice could only fill up a short list
-    counts = short.groupBy("piece").count().where("count > 1").orderBy(F.desc("count"), "piece").limit(limit)
-    folded = saved(counts.select("piece").repartition(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "frequent")
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch's distinct pieces with their numbers."""
+    for batch in batches:
+        found = pc.value_counts(batch.column("pieces").values)
+        yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["piece", "n"])
+
+
+def frequent_pieces(cut: DataFrame, ranks: Column, limit: int = FREQUENT) -> dict[str, str]:
+    """Ids of the ``limit`` commonest pieces of all ``[pieces]``, each folded once."""
+    counted = cut.select("pieces").mapInArrow(_counts, "piece string, n bigint").where(F.octet_length("piece") <= LONG)
+    # those met once could only fill up a short list
+    counts = counted.groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "piece").limit(limit)
+    folded = saved(counts.select("piece").repartition(int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "frequent")
     return dict(map(tuple, folded.select("piece", _merged(ranks, _hex(F.col("piece"))).alias("ids")).collect()))
 
 
@@ -183,17 +191,18 @@ def _assembler(known: dict[str, str], ranks: dict[bytes, int]):
         kept = Kept.of(run, known)
         for batch in batches:
             pieces = batch.column("pieces")
-            bounds, flat, found = pieces.offsets.to_pylist(), pieces.values.to_pylist(), []
-            for first, last in zip(bounds, bounds[1:]):
-                part = flat[first:last]
-                try:
-                    found.append(",".join([kept[p] for p in part]))
-                except KeyError:
-                    new = {p: ",".join(map(str, merge(p.encode(), ranks))) for p in set(part) if p not in kept}
-                    found.append(",".join([new[p] if p in new else kept[p] for p in part]))
-                    if len(kept) < met:
-                        kept.update((p, ids) for p, ids in new.items() if len(p) <= SHORT)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string())], ["doc_id", "ids"])
+            coded = pieces.values.dictionary_encode()  # each distinct piece is looked up once a batch
+            found = []
+            for p in coded.dictionary.to_pylist():
+                ids = kept.get(p)
+                if ids is None:
+                    ids = ",".join(map(str, merge(p.encode(), ranks)))
+                    if len(kept) < met and len(p) <= SHORT:
+                        kept[p] = ids
+                found.append(ids)
+            ids = pa.array(found, pa.large_string()).take(coded.indices)
+            rows = pc.binary_join(pa.ListArray.from_arrays(pieces.offsets, ids), pa.scalar(",", pa.large_string()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), rows.cast(pa.string())], ["doc_id", "ids"])
 
     return assemble
 
@@ -202,7 +211,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int
     """``[doc_id, ids]`` of every row: token ids in order, joined by commas; no special tokens."""
     table = literal(_hashed({token.hex().upper(): rank for token, rank in ranks.items()}), "array<map<string,int>>")
     cut = texts(docs).select("doc_id", _pieces(F.col("text"), pattern).alias("pieces"))
-    known = frequent_pieces(cut.select(F.explode("pieces").alias("piece")), table, frequent)
+    known = frequent_pieces(cut, table, frequent)
     kind = cut.schema["doc_id"].dataType.simpleString()
     return cut.mapInArrow(_assembler(known, ranks), f"doc_id {kind}, ids string")
 
@@ -213,8 +222,9 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     for token, rank in ranks.items():
         tokens[rank] = token.hex().upper()
     names = literal(tokens, "array<string>")
-    pieces = F.transform(F.filter(F.split("ids", ","), lambda i: i != ""), lambda i: F.get(names, i.cast("int")))
-    return encoded.select("doc_id", "ids", F.unhex(F.array_join(pieces, "")).alias("decoded"))
+    pieces = F.transform(F.split("ids", ","), lambda i: F.get(names, i.cast("int")))
+    decoded = F.when(F.col("ids") == "", F.lit(b"")).otherwise(F.unhex(F.array_join(pieces, "")))
+    return encoded.select("doc_id", "ids", decoded.alias("decoded"))
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int = FREQUENT) -> DataFrame:
