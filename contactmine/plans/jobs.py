@@ -18,12 +18,12 @@ from contactmine.operators.summary import count_by_reason
 from contactmine.operators.verdicts import kept
 from contactmine.sinks.tables import (
     append_ledger,
-    write_bad_sources,
+    bad_sources,
     write_provenance,
     write_values,
 )
 from contactmine.sources.files import include_exclude, scan_files
-from contactmine.sources.ingest import ingest
+from contactmine.sources.ingest import ingest, without_reader
 
 
 # Paths that are broadcast at most: some 100 MB.
@@ -73,11 +73,13 @@ def run(
     one of ``plans.variants`` with its lists filled in.  Under ``out``: ``candidates``
     (parquet, what ``find`` gave in this run; all later steps read that), ``emails`` and
     ``urls`` (text), ``provenance`` (CSV, with ``source_id``), ``summary`` (JSON, with
-    ``reason``, this run's counts), ``bad_sources`` and ``ledger`` (parquet).  After a
-    crash ``provenance`` and ``bad_sources`` can hold a line twice; the others cannot.
+    ``reason``, this run's counts), ``bad_sources`` and ``ledger`` (parquet).  Files of a
+    kind without reader are reported once and stay out of the ledger: a later run that
+    has a reader reads them.  After a crash ``provenance`` can hold a line twice; the
+    others cannot.
     """
     # listed before the texts are: a file that arrives in between is read again, not missed
-    files = include_exclude(scan_files(spark, root), include, exclude).select("path")
+    files = include_exclude(scan_files(spark, root), include, exclude).select("path", "ext")
     texts = ingest(spark, root, include, exclude, **ingest_options)
     ledger = _existing(spark.read.parquet, f"{out}/ledger")
     if ledger is not None:
@@ -96,5 +98,8 @@ def run(
         write_values(fresh, f"{out}/{name}")
     if "reason" in found.columns:
         count_by_reason(found).write.mode("overwrite").json(f"{out}/summary")
-    write_bad_sources(texts, f"{out}/bad_sources")
-    append_ledger(files, f"{out}/ledger")
+    unread, reported = bad_sources(texts), _existing(spark.read.parquet, f"{out}/bad_sources")
+    if reported is not None:
+        unread = unread.join(reported, ["source_id", "error"], "left_anti")
+    unread.write.mode("append").parquet(f"{out}/bad_sources")
+    append_ledger(files.filter(~F.col("ext").isin(without_reader(ingest_options.get("readers")))), f"{out}/ledger")

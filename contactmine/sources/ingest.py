@@ -28,6 +28,12 @@ DEFAULT_READERS: dict[str, FileReader] = {
 }
 
 
+def without_reader(readers: Mapping[str, FileReader] | None = None) -> list[str]:
+    """The known binary extensions that ``ingest`` reports as unread with these readers."""
+    read = {*DEFAULT_READERS, *(readers or {}), *ARCHIVE_EXTENSIONS, *TEXT_EXTENSIONS, ".csv"}
+    return [e for e in COMPATIBLE_EXTENSIONS if e not in read]
+
+
 def ingest(
     spark: SparkSession,
     root: str,
@@ -45,9 +51,7 @@ def ingest(
     """
     chosen = {**DEFAULT_READERS, **(readers or {})}
     opened = [*chosen, *ARCHIVE_EXTENSIONS]
-    closed = [
-        e for e in COMPATIBLE_EXTENSIONS if e not in (*opened, *TEXT_EXTENSIONS, ".csv")
-    ]
+    closed = without_reader(readers)
     none = F.lit(None).cast("string")
 
     files = include_exclude(scan_files(spark, root), include, exclude)

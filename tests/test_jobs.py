@@ -54,3 +54,19 @@ def test_texts_are_shuffled_only_for_long_lists(spark, monkeypatch, limit, joins
     assert values(left, "source_id") == ["a!/x", "c"]
     assert joins in left._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_files_without_reader_wait_for_one(spark, tmp_path):
+    root, out = tmp_path / "in", tmp_path / "out"
+    root.mkdir()
+    (root / "a.txt").write_text("joe@shop.com")
+    (root / "b.pdf").write_bytes(b"jane@shop.com")
+    for _ in range(2):
+        jobs.run(spark, str(root), str(out), ADVANCED)
+        assert lines(spark, out / "emails") == ["joe@shop.com"]
+        errors = values(spark.read.parquet(str(out / "bad_sources")), "error")
+        assert errors == ["no reader for .pdf"]
+    jobs.run(spark, str(root), str(out), ADVANCED, readers={".pdf": bytes.decode})
+    assert lines(spark, out / "emails") == ["jane@shop.com", "joe@shop.com"]
+    ledger = values(spark.read.parquet(str(out / "ledger")), "path")
+    assert [p.rsplit("/", 1)[1] for p in ledger] == ["a.txt", "b.pdf"]
