@@ -641,5 +641,6 @@ def contacts_service_all(spark, sf):
 @query
 def contacts_service_live(spark, sf):
     """All base URLs that answered, of the sources an earlier run did not see."""
-    corpus = dedup.skip_processed(D.corpus(spark, sf), D.ledger(spark, sf), "source_id")
-    return variants.service(corpus, "all", status=D.status(spark, sf))
+    return variants.service(
+        D.corpus(spark, sf), "all", status=D.status(spark, sf), ledger=D.ledger(spark, sf)
+    )

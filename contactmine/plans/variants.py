@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from contactmine.fixed_values import FORBIDDEN_LOCAL_WORDS, FORBIDDEN_WORDS
 from contactmine.functions import emails as E
 from contactmine.functions import urls as U
-from contactmine.operators.dedup import distinct_values
+from contactmine.operators.dedup import distinct_values, skip_processed
 from contactmine.operators.domains import DEFAULT_RULES, with_domains
 from contactmine.operators.extract import (
     BOUNDED_EMAILS,
@@ -127,16 +127,20 @@ def service_values(
     status: DataFrame | None = None,
     email_finder: Finder = LOOSE_EMAILS,
     url_finder: Finder = SERVICE_URLS,
+    ledger: DataFrame | None = None,
 ) -> DataFrame:
     """Distinct addresses and base URLs with ``n_texts``, the latter with ``root`` and ``subdomain``.
 
-    With ``status`` (``[base_url, status]``) only base URLs that answered 200 stay.
+    With ``status`` (``[base_url, status]``) only base URLs that answered 200 stay; with
+    ``ledger`` (``[source_id]``) only what other sources hold: contacts, not texts, meet it.
     """
     contacts = extract_contacts(
         corpus,
         mapped(email_finder, E.idna_email),
         mapped(url_finder, U.base_url, keep=U.is_valid_url),
     )
+    if ledger is not None:
+        contacts = skip_processed(contacts, ledger, "source_id")
     value, address = F.col("value"), F.col("kind") == EMAIL
     values = contacts.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_texts"))
     if status is not None:
