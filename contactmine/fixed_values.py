@@ -75,3 +75,11 @@ NETLOC_LOOKALIKES = (
 
 MAPPING_CSV_HEADER = ['Domain/Subdomain', 'URLs']
 MAPPING_JOINER = '; '
+
+# Extensions read as text, opened as archives, and opened as office files.
+TEXT_EXTENSIONS = [
+    '.txt', '.log', '.ini', '.inf', '.html', '.htm', '.asp', '.aspx', '.php', '.js', '.json',
+    '.xml', '.yaml', '.yml', '.md', '.sql'
+]
+ARCHIVE_EXTENSIONS = ['.zip', '.tar', '.gz', '.rar']
+OFFICE_EXTENSIONS = ['.docx', '.docm', '.xlsx', '.xlsm', '.pptx', '.odt', '.ods']

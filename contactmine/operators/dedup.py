@@ -21,17 +21,22 @@ def distinct_values(contacts: DataFrame, casefold: bool = False) -> DataFrame:
     )
 
 
+def reading_order(contacts: DataFrame) -> list[str]:
+    """Columns that order contacts as they stand in their sources; lines have a ``place``."""
+    return ["source_id", *(["place"] if "place" in contacts.columns else []), "pos"]
+
+
 def first_source(contacts: DataFrame) -> DataFrame:
-    """Each value with the source that shows it first, by ``(source_id, pos)``."""
-    first = F.min(F.struct("source_id", "pos"))
+    """Each value with the source that shows it first, by ``(source_id, place, pos)``."""
+    first = F.min(F.struct(*reading_order(contacts)))
     return contacts.groupBy("kind", "value").agg(first.alias("_first")).select(
         "kind", "value", F.col("_first.source_id").alias("source_id"), F.col("_first.pos").alias("pos")
     )
 
 
 def first_per_key(contacts: DataFrame, key: Column, name: str = "host") -> DataFrame:
-    """The first value of each key, by ``(source_id, pos, value)``."""
-    first = F.min(F.struct("source_id", "pos", "value"))
+    """The first value of each key, by ``(source_id, place, pos, value)``."""
+    first = F.min(F.struct(*reading_order(contacts), "value"))
     return contacts.groupBy(key.alias(name)).agg(first.alias("_first")).select(
         name, F.col("_first.value").alias("value"), F.col("_first.source_id").alias("source_id")
     )

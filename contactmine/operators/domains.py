@@ -2,7 +2,7 @@
 
 Rules follow the public-suffix notation: ``com``, ``co.uk``, ``*.ck`` (any label
 under ck), ``!www.ck`` (exception to it).  DEFAULT_RULES covers common endings only;
-pass a full list for real use, as a sequence (tested against in-memory sets inside
+load a full list for real use (``without_root`` shows what it misses), as a sequence (tested against in-memory sets inside
 the expression: no join, no shuffle) or as a DataFrame ``[rule]`` (equality join).
 """
 
@@ -52,7 +52,7 @@ def _root_from_score(host: Column, score: Column) -> Column:
     return F.when(_n_labels(host) > size, _last_labels(host, size + 1))
 
 
-def root_domain(host: Column, rules: Sequence[str] = DEFAULT_RULES) -> Column:
+def root_domain(host: Column, rules: Sequence[str]) -> Column:
     """One label and the public suffix; null for an IP or where no rule fits."""
     exact = [r for r in rules if r[:1] not in ("*", "!")]
     any_label = [r[2:] for r in rules if r.startswith("*.")]
@@ -103,7 +103,7 @@ def match_rules(hosts: DataFrame, rules: DataFrame, host: str = "host") -> DataF
 
 
 def with_domains(
-    urls: DataFrame, rules: Sequence[str] | DataFrame = DEFAULT_RULES, column: str = "value"
+    urls: DataFrame, rules: Sequence[str] | DataFrame, column: str = "value"
 ) -> DataFrame:
     """Add ``root`` and ``subdomain`` (the whole host), null where there is no root."""
     hosted = urls.withColumn("host", url_host(F.col(column)))
@@ -118,3 +118,12 @@ def with_domains(
     return rooted.withColumn(
         "subdomain", F.when(F.col("root").isNotNull(), F.col("host"))
     ).drop("host")
+
+
+def without_root(urls: DataFrame) -> DataFrame:
+    """``[ending, n_values]``: values that no rule gives a root, by the last label of their
+    host; '' where the host is missing or an IP address."""
+    host = url_host(F.col("value"))
+    ending = F.when(_named(host), _last_labels(host, F.lit(1))).otherwise("")
+    rootless = urls.filter(F.col("root").isNull())
+    return rootless.groupBy(ending.alias("ending")).agg(F.count(F.lit(1)).alias("n_values"))

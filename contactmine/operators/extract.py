@@ -91,7 +91,9 @@ def _hits(finder: Finder, text: Column) -> Column:
 def extract_contacts(
     corpus: DataFrame, *finders: Finder, text: str = "text", keep: tuple[str, ...] = ("source_id",)
 ) -> DataFrame:
-    """One row per distinct value of each text, with the ``keep`` columns."""
+    """One row per distinct value of each text, with the ``keep`` columns and the text's ``place``, if it has one."""
+    if "place" in corpus.columns:
+        keep = (*keep, "place")
     column = F.col(text)
     if all(f.marker for f in finders):
         guard = F.contains(column, F.lit(finders[0].marker))

@@ -13,6 +13,7 @@ from contactmine.functions import urls as U
 from contactmine.operators import cells, dedup, domains, extract, lists, liveness, mapping, matching
 from contactmine.operators import summary as S
 from contactmine.operators import verdicts as V
+from contactmine.operators.domains import DEFAULT_RULES
 from contactmine.plans import tables as D
 from contactmine.plans import variants
 from contactmine.sources.files import compatible, include_exclude
@@ -52,7 +53,7 @@ def _links(spark: SparkSession, sf: str) -> DataFrame:
 
 def _bases(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct base URLs ``[kind, value, n_texts, root, subdomain]``."""
-    return extract.urls_of(variants.service_values(D.corpus(spark, sf)))
+    return extract.urls_of(variants.service_values(D.corpus(spark, sf), DEFAULT_RULES))
 
 
 def _contacts(spark: SparkSession, sf: str) -> DataFrame:
@@ -234,10 +235,16 @@ def url_root_domain(spark, sf):
 def url_root_domain_join(spark, sf):
     """The same by an equality join with a rule table."""
     rules = D.rules(spark)
-    values = variants.service_values(D.corpus(spark, sf), rules)
+    values = variants.service_values(D.corpus(spark, sf), rules=rules)
     return extract.urls_of(values).select("value", "root")
 
 
+@query
+def urls_without_root(spark, sf):
+    """Base URLs that the rules give no root, by the ending of their host."""
+    return domains.without_root(_bases(spark, sf))
+
+
 @query
 def url_subdomain(spark, sf):
     return _bases(spark, sf).select("value", "subdomain")
@@ -501,33 +508,33 @@ def _joined(url_map: DataFrame) -> DataFrame:
 
 @query
 def map_root_urls(spark, sf):
-    return _joined(variants.service_map(D.corpus(spark, sf), "root"))
+    return _joined(variants.service_map(D.corpus(spark, sf), "root", rules=DEFAULT_RULES))
 
 
 @query
 def map_root_urls_split(spark, sf):
     """Groups over three URLs go to several rows."""
-    return _joined(variants.service_map(D.corpus(spark, sf), "root", max_per_row=3))
+    return _joined(variants.service_map(D.corpus(spark, sf), "root", rules=DEFAULT_RULES, max_per_row=3))
 
 
 @query
 def map_subdomain_urls(spark, sf):
-    return _joined(variants.service_map(D.corpus(spark, sf), "subdomain"))
+    return _joined(variants.service_map(D.corpus(spark, sf), "subdomain", rules=DEFAULT_RULES))
 
 
 @query
 def map_all_urls(spark, sf):
-    return _joined(variants.service_map(D.corpus(spark, sf), "all"))
+    return _joined(variants.service_map(D.corpus(spark, sf), "all", rules=DEFAULT_RULES))
 
 
 @query
 def mapping_json(spark, sf):
-    return mapping.mapping_json_rows(variants.service_map(D.corpus(spark, sf), "root"))
+    return mapping.mapping_json_rows(variants.service_map(D.corpus(spark, sf), "root", rules=DEFAULT_RULES))
 
 
 @query
 def mapping_csv(spark, sf):
-    rows = mapping.mapping_csv_rows(variants.service_map(D.corpus(spark, sf), "subdomain"))
+    rows = mapping.mapping_csv_rows(variants.service_map(D.corpus(spark, sf), "subdomain", rules=DEFAULT_RULES))
     return rows.select(F.col("key").alias("Domain/Subdomain"), "part", F.col("urls").alias("URLs"))
 
 
@@ -625,22 +632,22 @@ def contacts_bounded(spark, sf):
 
 @query
 def contacts_service_root(spark, sf):
-    return variants.service(D.corpus(spark, sf), "root")
+    return variants.service(D.corpus(spark, sf), "root", rules=DEFAULT_RULES)
 
 
 @query
 def contacts_service_subdomain(spark, sf):
-    return variants.service(D.corpus(spark, sf), "subdomain")
+    return variants.service(D.corpus(spark, sf), "subdomain", rules=DEFAULT_RULES)
 
 
 @query
 def contacts_service_all(spark, sf):
-    return variants.service(D.corpus(spark, sf), "all")
+    return variants.service(D.corpus(spark, sf), "all", rules=DEFAULT_RULES)
 
 
 @query
 def contacts_service_live(spark, sf):
     """All base URLs that answered, of the sources an earlier run did not see."""
     return variants.service(
-        D.corpus(spark, sf), "all", status=D.status(spark, sf), ledger=D.ledger(spark, sf)
+        D.corpus(spark, sf), "all", rules=DEFAULT_RULES, status=D.status(spark, sf), ledger=D.ledger(spark, sf)
     )

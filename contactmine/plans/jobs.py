@@ -7,11 +7,13 @@ wrote, and records its files last: a run that dies is simply run again.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contactmine.functions.urls import host_to_slash
 from contactmine.operators.dedup import new_values, skip_processed
 from contactmine.operators.extract import emails_of, urls_of
 from contactmine.operators.summary import count_by_reason
@@ -26,26 +28,8 @@ from contactmine.sources.files import include_exclude, scan_files
 from contactmine.sources.ingest import ingest, without_reader
 
 
-# Paths that are broadcast at most: some 100 MB.
-BROADCAST_PATHS = 500_000
-
-
-def _fits(paths: DataFrame) -> bool:
-    return paths.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS
-
-
-def _texts_of(texts: DataFrame, files: DataFrame, ledger: DataFrame) -> DataFrame:
-    """The texts of the files still to read, without shuffling texts where that can be helped.
-
-    The shorter of both lists of paths is broadcast if it is short enough; only when
-    neither is do the texts go through a shuffle.
-    """
-    texts = texts.withColumn("path", F.substring_index("source_id", "!/", 1))
-    if _fits(files):
-        return texts.join(F.broadcast(files), "path", "left_semi")
-    if _fits(ledger):
-        return texts.join(F.broadcast(ledger.select("path")), "path", "left_anti")
-    return skip_processed(texts, ledger)
+# Files of one pass: their paths are a literal of its plan.
+PASS_FILES = 20_000
 
 
 def _existing(read: Callable[[str], DataFrame], path: str) -> DataFrame | None:
@@ -68,38 +52,59 @@ def run(
 ) -> None:
     """Extract ``root`` with ``find`` and add the results to the folder ``out``.
 
-    ``find`` takes ``[source_id, text]`` to ``[kind, value]`` with an optional ``reason``
-    (only ``kept`` values are written, all are counted) and an optional ``source_id``:
+    ``find`` takes ``[source_id, place, text]`` to ``[kind, value]`` with an optional ``reason``
+    (only ``kept`` values are written, all are counted), an optional ``source_id`` and an
+    optional ``key`` (of the links, their host: one link per host is written over all runs):
     one of ``plans.variants`` with its lists filled in.  Under ``out``: ``candidates``
-    (parquet, what ``find`` gave in this run; all later steps read that), ``emails`` and
-    ``urls`` (text), ``provenance`` (CSV, with ``source_id``), ``summary`` (JSON, with
-    ``reason``, this run's counts), ``bad_sources`` and ``ledger`` (parquet).  Files of a
-    kind without reader are reported once and stay out of the ledger: a later run that
-    has a reader reads them.  After a crash ``provenance`` can hold a line twice; the
-    others cannot.
+    (parquet, what ``find`` gave in this run, by pass; all later steps read that),
+    ``binary_texts`` (parquet, of the last pass), ``emails`` and ``urls`` (text),
+    ``provenance`` (CSV, with ``source_id``), ``summary`` (JSON, with ``reason``, this run's
+    counts), ``bad_sources`` and ``ledger`` (parquet).  Files of a kind without reader are
+    reported once and stay out of the ledger: a later run that has a reader reads them.
+    After a crash ``provenance`` can hold a line twice; the others cannot.
+
+    Files are listed, those of the ledger left out, and the rest taken in passes of
+    PASS_FILES in the order of their paths, each chosen before any file is opened.
     """
-    # listed before the texts are: a file that arrives in between is read again, not missed
+    closed = without_reader(ingest_options.get("readers"))
     files = include_exclude(scan_files(spark, root), include, exclude).select("path", "ext")
-    texts = ingest(spark, root, include, exclude, **ingest_options)
-    ledger = _existing(spark.read.parquet, f"{out}/ledger")
+    ledger, reported = (_existing(spark.read.parquet, f"{out}/{name}") for name in ("ledger", "bad_sources"))
     if ledger is not None:
         files = skip_processed(files, ledger)
-        texts = _texts_of(texts, files, ledger)
-
-    readable = texts.filter(F.col("text").isNotNull()).select("source_id", "text")
-    find(readable).write.mode("overwrite").parquet(f"{out}/candidates")
-    found = spark.read.parquet(f"{out}/candidates")
+    if reported is not None:
+        seen = reported.select(F.col("source_id").alias("path"))
+        files = files.filter(~F.col("ext").isin(closed)).unionByName(
+            skip_processed(files.filter(F.col("ext").isin(closed)), seen)
+        )
+    paths, passes = (row.path for row in files.select("path").orderBy("path").toLocalIterator()), []
+    while chosen := list(islice(paths, PASS_FILES)):
+        passes.append(f"{out}/candidates/pass={len(passes)}")
+        texts = ingest(
+            spark, root, include, exclude, paths=chosen, keep_in=f"{out}/binary_texts", **ingest_options
+        )
+        readable = texts.filter(F.col("text").isNotNull()).select("source_id", "place", "text")
+        find(readable).write.mode("overwrite").parquet(passes[-1])
+        _add(spark, spark.read.parquet(passes[-1]), out)
+        bad_sources(texts).write.mode("append").parquet(f"{out}/bad_sources")
+        read = files.filter(F.col("path").isin(chosen) & ~F.col("ext").isin(closed))
+        append_ledger(read, f"{out}/ledger")
+    if passes:
+        found = spark.read.parquet(*passes)
+        if "reason" in found.columns:
+            name = "key" if "key" in found.columns else "value"
+            count_by_reason(found.dropDuplicates(["kind", name])).write.mode("overwrite").json(f"{out}/summary")
+
+
+def _add(spark: SparkSession, found: DataFrame, out: str) -> None:
+    """Write the values, and with keys the links of hosts, that no earlier pass wrote."""
     values = kept(found) if "reason" in found.columns else found
     for name, part in (("emails", emails_of(values)), ("urls", urls_of(values))):
         written = _existing(spark.read.text, f"{out}/{name}")
-        fresh = part if written is None else new_values(part, written)
+        fresh = part
+        if written is not None and name == "urls" and "key" in found.columns:
+            fresh = new_values(part, written.select(host_to_slash(F.col("value")).alias("key")), on=("key",))
+        elif written is not None:
+            fresh = new_values(part, written)
         if "source_id" in found.columns:
             write_provenance(fresh, f"{out}/provenance")
         write_values(fresh, f"{out}/{name}")
-    if "reason" in found.columns:
-        count_by_reason(found).write.mode("overwrite").json(f"{out}/summary")
-    unread, reported = bad_sources(texts), _existing(spark.read.parquet, f"{out}/bad_sources")
-    if reported is not None:
-        unread = unread.join(reported, ["source_id", "error"], "left_anti")
-    unread.write.mode("append").parquet(f"{out}/bad_sources")
-    append_ledger(files.filter(~F.col("ext").isin(without_reader(ingest_options.get("readers")))), f"{out}/ledger")

@@ -343,6 +343,12 @@ loose AS ({loose['loose']}) SELECT DISTINCT value FROM loose""",
     "map_root_urls": _map_query("root"),
     "map_root_urls_split": _map_query("root", 3),
     "map_subdomain_urls": _map_query("subdomain"),
+    "urls_without_root": _with(
+        r"""SELECT CASE WHEN host = '' OR regexp_matches(host, '^(\d{1,3}(\.\d{1,3}){3}|\[.*)$') THEN ''
+  ELSE list_last(string_split(host, '.')) END AS ending, count(*) AS n_values
+ FROM rooted WHERE root IS NULL GROUP BY ALL""",
+        **bases,
+    ),
     "map_all_urls": _map_query("value"),
     "mapping_json": _with(
         """SELECT key, part, CAST(to_json(list(url ORDER BY url)) AS VARCHAR) AS json

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from contactmine.fixed_values import FORBIDDEN_LOCAL_WORDS, FORBIDDEN_WORDS
 from contactmine.functions import emails as E
 from contactmine.functions import urls as U
-from contactmine.operators.dedup import distinct_values, skip_processed
-from contactmine.operators.domains import DEFAULT_RULES, with_domains
+from contactmine.operators.dedup import distinct_values, reading_order, skip_processed
+from contactmine.operators.domains import with_domains
 from contactmine.operators.extract import (
     BOUNDED_EMAILS,
     CLEAN_EMAILS,
@@ -98,7 +98,7 @@ def bounded_candidates(
         corpus, keyed(emails, lambda address: address), keyed(OVERLAPPING_URLS, U.host_to_slash)
     )
     first = contacts.groupBy("kind", "key").agg(
-        F.min(F.struct("source_id", "pos", "value")).alias("_first")
+        F.min(F.struct(*reading_order(contacts), "value")).alias("_first")
     )
     return bounded_verdicts(first, disposable, blocked, words, dot_boundary).select(
         "kind", "key", F.col("_first.value").alias("value"),
@@ -123,7 +123,7 @@ def bounded(
 
 def service_values(
     corpus: DataFrame,
-    rules: Sequence[str] | DataFrame = DEFAULT_RULES,
+    rules: Sequence[str] | DataFrame,
     status: DataFrame | None = None,
     email_finder: Finder = LOOSE_EMAILS,
     url_finder: Finder = SERVICE_URLS,
@@ -171,4 +171,8 @@ def service_map(
 ) -> DataFrame:
     """``[key, part, urls]``: the base URLs under each root, subdomain or URL."""
     values = service_values(corpus, **options).filter(F.col("kind") == URL)
+    if mode == "all":  # distinct values, each a key with itself
+        return values.select(
+            F.col("value").alias("key"), F.lit(0).cast("bigint").alias("part"), F.array("value").alias("urls")
+        )
     return url_map(values, MODES[mode], max_per_row)

@@ -17,15 +17,13 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from contactmine.fixed_values import ARCHIVE_EXTENSIONS, OFFICE_EXTENSIONS
+
 TEXTS = "source_id string, text string, error string"
 MEMBERS = "path string, content binary, error string"
 
-ARCHIVE_EXTENSIONS = ['.zip', '.tar', '.gz', '.rar']
-OFFICE_EXTENSIONS = ['.docx', '.docm', '.xlsx', '.xlsm', '.pptx', '.odt', '.ods']
-
-# A row has to stay well under the 2 GB a column value can hold; larger members are
-# reported as errors, not cut.
-MAX_MEMBER_BYTES = 1 << 30
+# What a column value can hold, less some room; larger members are reported as errors, not cut.
+MAX_MEMBER_BYTES = (1 << 31) - (1 << 20)
 
 FileReader = Callable[[bytes], str]
 _Member = tuple[str, bytes | None, str | None]
@@ -116,8 +114,8 @@ def _files_inside(content: bytes) -> Iterator[tuple[str, int, Callable[[], bytes
             yield info.name, info.size, lambda i=info: archive.extractfile(i).read()
 
 
-def _members(path: str, content: bytes, levels: int) -> Iterator[_Member]:
-    """Members as ``archive!/member``, archives among them opened ``levels`` deep."""
+def _members(path: str, content: bytes, levels: int | None) -> Iterator[_Member]:
+    """Members as ``archive!/member``, archives among them opened ``levels`` deep or all."""
     if levels == 0:
         yield path, None, "archive nested too deeply"
         return
@@ -133,17 +131,17 @@ def _members(path: str, content: bytes, levels: int) -> Iterator[_Member]:
                 yield member, None, _describe(failure)
                 continue
             if _extension(name) in ARCHIVE_EXTENSIONS:
-                yield from _members(member, inner, levels - 1)
+                yield from _members(member, inner, levels and levels - 1)
             else:
                 yield member, inner, None
     except Exception as failure:  # damaged archive
         yield path, None, _describe(failure)
 
 
-def expand_archives(archives: DataFrame, max_depth: int = 3) -> DataFrame:
+def expand_archives(archives: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``[path, content, error]``: one row per file in each archive; nothing goes to disk.
 
-    Archives in archives are opened ``max_depth`` levels down, deeper ones reported.
+    Archives in archives are opened, at most ``max_depth`` levels down; deeper ones are reported.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,7 +154,7 @@ def expand_archives(archives: DataFrame, max_depth: int = 3) -> DataFrame:
 
 
 def read_files(
-    files: DataFrame, readers: Mapping[str, FileReader], max_depth: int = 3
+    files: DataFrame, readers: Mapping[str, FileReader], max_depth: int | None = None
 ) -> DataFrame:
     """``[source_id, text, error]`` of binary files and of the members of archives.
 

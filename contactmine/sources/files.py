@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from contactmine.fixed_values import COMPATIBLE_EXTENSIONS
 from contactmine.functions.text import (
@@ -15,11 +14,6 @@ from contactmine.functions.text import (
     normalize_extension,
 )
 
-TEXT_EXTENSIONS = [
-    '.txt', '.log', '.ini', '.inf', '.html', '.htm', '.asp', '.aspx', '.php', '.js', '.json',
-    '.xml', '.yaml', '.yml', '.md', '.sql'
-]
-
 _WORK_FOLDER = "_temp_extract"
 
 
@@ -73,17 +67,28 @@ def text_corpus(files: DataFrame) -> DataFrame:
     )
 
 
-def read_text_lines(spark: SparkSession, root: str, encoding: str = "UTF-8") -> DataFrame:
-    """``[source_id, text, ext]``, one row per line.
+def read_text_lines(
+    spark: SparkSession,
+    root: str,
+    encoding: str = "UTF-8",
+    choose: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """``[source_id, place, text, ext]``, one row per line, ``place`` rising along a file.
 
     No built-in finder matches across a line end, so the distinct values per file are
     those of the whole text, while a file of any size is split over many tasks.
+    ``choose`` filters files by ``source_id`` and ``ext`` before any is opened; a filter on
+    the result would come after the lines have been numbered, with all files read.
     """
     reader = spark.read.option("recursiveFileLookup", True)
     if encoding.upper() != "UTF-8":
         reader = reader.option("encoding", encoding)
-    return _located(reader.text(root), "source_id").select(
-        "source_id", decode_ignoring_errors(F.col("value")).alias("text"), "ext"
+    lines = _located(reader.text(root), "source_id").withColumn("_block", F.col("_metadata.file_block_start"))
+    if choose is not None:
+        lines = choose(lines)
+    place = F.struct("_block", F.monotonically_increasing_id().alias("_line"))
+    return lines.select(
+        "source_id", place.alias("place"), decode_ignoring_errors(F.col("value")).alias("text"), "ext"
     )
 
 
@@ -103,24 +108,29 @@ def corpus_from_column(df: DataFrame, key: str, column: str, prefix: str) -> Dat
     )
 
 
-def csv_cells(
-    spark: SparkSession, root: str, n_columns: int, multi_line: bool = True
-) -> DataFrame:
-    """``[source_id, column, text]`` of the cells of CSV files, header cells included.
+def csv_cells(spark: SparkSession, root: str, multi_line: bool = False) -> DataFrame:
+    """``[source_id, column, text]`` of all cells of CSV files, header cells included.
 
-    Cells stay raw strings.  With ``multi_line`` off files are split over tasks, which is
-    right when no quoted cell holds a line end.
+    Rows may differ in width: a row of other than one cell comes as Spark's record of what
+    does not fit the schema, and is split here.  Cells stay raw strings, empty ones are left
+    out.  ``multi_line`` is needed where quoted cells hold line ends; it reads each file in
+    one task.
     """
-    schema = StructType([StructField(f"c{i}", StringType()) for i in range(n_columns)])
-    table = (
-        spark.read.schema(schema)
+    rows = (
+        spark.read.schema("_single string, _record string")
+        .option("columnNameOfCorruptRecord", "_record")
         .option("recursiveFileLookup", True)
         .option("multiLine", multi_line)
         .option("header", False)
         .option("escape", '"')
         .csv(root)
-        .select(F.col("_metadata.file_path").alias("source_id"), "*")
+        .select(F.col("_metadata.file_path").alias("source_id"), "_single", "_record")
     )
-    return table.unpivot(
-        "source_id", [f.name for f in schema.fields], "column", "text"
-    ).filter(F.col("text").isNotNull())
+    record = F.concat(F.lit(","), "_record")  # so that each cell follows a comma
+    raw = F.regexp_extract_all(record, F.lit(r',("[^"]*+(?:""[^"]*+)*+"|[^,]*)'), F.lit(1))
+    quoted = lambda cell: F.replace(F.regexp_extract(cell, r'(?s)^"(.*)"\s*$', 1), F.lit('""'), F.lit('"'))
+    cells = F.transform(raw, lambda cell: F.when(cell.startswith('"'), quoted(cell)).otherwise(F.rtrim(cell)))
+    every = F.coalesce(cells, F.array("_single"))
+    return rows.select("source_id", F.posexplode(every).alias("_at", "text")).select(
+        "source_id", F.concat(F.lit("c"), F.col("_at").cast("string")).alias("column"), "text"
+    ).filter(F.col("text") != "")

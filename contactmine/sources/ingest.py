@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactmine.fixed_values import COMPATIBLE_EXTENSIONS
-from contactmine.sources.binary import (
+from contactmine.fixed_values import (
     ARCHIVE_EXTENSIONS,
+    COMPATIBLE_EXTENSIONS,
     OFFICE_EXTENSIONS,
+    TEXT_EXTENSIONS,
+)
+from contactmine.sources.binary import (
+    TEXTS,
     FileReader,
     read_files,
     read_message,
     read_office,
 )
-from contactmine.sources.files import (
-    TEXT_EXTENSIONS,
-    include_exclude,
-    read_text_lines,
-    scan_files,
-)
+from contactmine.sources.files import include_exclude, read_text_lines, scan_files
 
 DEFAULT_READERS: dict[str, FileReader] = {
     ".eml": read_message, **dict.fromkeys(OFFICE_EXTENSIONS, read_office)
@@ -40,28 +39,49 @@ def ingest(
     include: Iterable[str] | None = None,
     exclude: Iterable[str] | None = None,
     readers: Mapping[str, FileReader] | None = None,
-    max_depth: int = 3,
+    max_depth: int | None = None,
+    encoding: str = "UTF-8",
+    paths: Sequence[str] | None = None,
+    keep_in: str | None = None,
 ) -> DataFrame:
     """Text files line by line, messages, office files and archives whole.
 
     ``readers`` adds ``bytes → str`` readers by extension or replaces the built-in ones.
     A known binary extension without a reader gives a row with ``error``; any other
     unknown extension is read as text.  The three branches read disjoint sets of files:
-    their extension tests prune the listing, before any file is opened.
+    their extension tests prune the listing, before any file is opened, as does ``paths``,
+    the files to read.  Lines have a ``place`` in their file.  Binary files above what a row
+    holds give a row with ``error``.  With ``keep_in`` the texts of binary files are written
+    there and read back, so that each is opened once, however often the result is used.
     """
     chosen = {**DEFAULT_READERS, **(readers or {})}
     opened = [*chosen, *ARCHIVE_EXTENSIONS]
     closed = without_reader(readers)
     none = F.lit(None).cast("string")
 
-    files = include_exclude(scan_files(spark, root), include, exclude)
-    binary = read_files(files.filter(F.col("ext").isin(opened)), chosen, max_depth)
-    unread = files.filter(F.col("ext").isin(closed)).select(
+    def wanted(listed: DataFrame, path: str) -> DataFrame:
+        if paths is not None:
+            listed = listed.filter(F.col(path).isin(list(paths)))
+        return include_exclude(listed, include, exclude, path)
+
+    files = wanted(scan_files(spark, root), "path")
+    is_opened, fits = F.col("ext").isin(opened), F.col("length") <= _row_limit(spark)
+    binary = read_files(files.filter(is_opened & fits), chosen, max_depth)
+    if keep_in is not None:
+        binary.write.mode("overwrite").parquet(keep_in)
+        binary = spark.read.schema(TEXTS).parquet(keep_in)
+    no_reader = F.concat(F.lit("no reader for "), "ext")
+    too_large = F.concat(F.lit("file of "), F.col("length").cast("string"), F.lit(" bytes is too large"))
+    unread = files.filter(F.col("ext").isin(closed) | (is_opened & ~fits)).select(
         F.col("path").alias("source_id"), none.alias("text"),
-        F.concat(F.lit("no reader for "), "ext").alias("error"),
-    )
-    lines = include_exclude(read_text_lines(spark, root), include, exclude, "source_id").filter(
-        ~F.col("ext").isin(opened + closed)
+        F.when(is_opened, too_large).otherwise(no_reader).alias("error"),
     )
-    texts = lines.select("source_id", "text", none.alias("error"))
-    return texts.unionByName(binary).unionByName(unread)
+    lines = read_text_lines(
+        spark, root, encoding,
+        lambda listed: wanted(listed, "source_id").filter(~F.col("ext").isin(opened + closed)),
+    ).select("source_id", "place", "text", none.alias("error"))
+    return lines.unionByName(binary, allowMissingColumns=True).unionByName(unread, allowMissingColumns=True)
+
+
+def _row_limit(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))

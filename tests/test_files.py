@@ -122,7 +122,7 @@ def test_scan_and_filters(spark, tree):
 
 
 def test_lines_and_whole_texts_hold_the_same_contacts(spark, tree):
-    lines = files.read_text_lines(spark, str(tree)).filter("ext in ('.txt', '.html', '')")
+    lines = files.read_text_lines(spark, str(tree), choose=lambda f: f.filter("ext in ('.txt', '.html', '')"))
     whole = files.read_whole_texts(spark, str(tree)).filter("ext in ('.txt', '.html', '')")
     scanned = files.text_corpus(files.scan_files(spark, str(tree)).filter("ext in ('.txt', '.html', '')"))
     finders = (extract.LOOSE_EMAILS, extract.SEGMENTED_URLS)
@@ -135,13 +135,41 @@ def test_lines_and_whole_texts_hold_the_same_contacts(spark, tree):
 
 
 def test_csv_cells(spark, tree):
-    cells = files.csv_cells(spark, str(tree / "t.csv"), 2)
+    cells = files.csv_cells(spark, str(tree / "t.csv"), multi_line=True)
     found = extract.extract_contacts(cells, extract.STRICT_EMAILS, keep=("column",))
     assert {(r.column, r.value) for r in found.collect()} == {
         ("c0", "head@csv.com"), ("c0", "joe@csv.com"), ("c1", "b@csv.com")
     }
 
 
+def test_csv_keeps_cells_of_rows_of_any_width(spark, tmp_path):
+    (tmp_path / "w.csv").write_text('a@x.com,"say ""hi"", b@x.com"\n1,2,lost@x.com\nalone@x.com\n,"two\nlines",,"",z\n')
+    cells = files.csv_cells(spark, str(tmp_path), multi_line=True).collect()
+    assert {(r.column, r.text) for r in cells} == {
+        ("c0", "a@x.com"), ("c1", 'say "hi", b@x.com'), ("c0", "1"), ("c1", "2"), ("c2", "lost@x.com"),
+        ("c0", "alone@x.com"), ("c1", "two\nlines"), ("c4", "z"),
+    }
+    (tmp_path / "w.csv").write_text("p@x.com,q\n1,2,lost@x.com\n")
+    assert values(files.csv_cells(spark, str(tmp_path)), "text") == ["1", "2", "lost@x.com", "p@x.com", "q"]
+
+
+def test_first_link_is_the_first_in_the_file(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("http://zed.com/b-first.html\nhttp://zed.com/a-second.html\n")
+    for texts in (files.read_text_lines(spark, str(tmp_path)), files.read_whole_texts(spark, str(tmp_path))):
+        assert values(variants.bounded(texts, [], [])) == ["http://zed.com/b-first.html"]
+
+
+def test_large_binary_files_are_reported(spark, tmp_path):
+    (tmp_path / "big.zip").write_bytes(zipped({"in.txt": b"in@zip.com" * 50}))
+    (tmp_path / "a.txt").write_text("joe@shop.com")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "100")
+    read = ingest.ingest(spark, str(tmp_path)).collect()
+    spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert [(r.text, (r.error or "")[-18:]) for r in sorted(read, key=lambda r: r.text or "")] == [
+        (None, "bytes is too large"), ("joe@shop.com", "")
+    ]
+
+
 def test_messages(spark, tree):
     bodies = binary.message_bodies(files.scan_files(spark, str(tree), "*.eml"))
     found = by_name(bodies, "source_id", "text")
@@ -229,7 +257,7 @@ def test_provenance_map_and_ledger_sinks(spark, corpus, tmp_path):
     found = variants.bounded(corpus("a@b.co http://x.com/1", "a@b.co http://x.com/2"), [], [])
     sinks.write_provenance(found, str(tmp_path / "csv"))
     assert sorted(lines_of(tmp_path / "csv")) == ["a@b.co,s0", "http://x.com/1,s0"]
-    grouped = variants.service_map(corpus("http://a.x.com/1 http://b.x.com/2"), "root")
+    grouped = variants.service_map(corpus("http://a.x.com/1 http://b.x.com/2"), "root", rules=["com"])
     sinks.write_mapping_json(grouped, str(tmp_path / "json"))
     assert json.loads(lines_of(tmp_path / "json")[0]) == {
         "key": "x.com", "part": 0, "urls": ["http://a.x.com", "http://b.x.com"]

@@ -16,7 +16,7 @@ ADVANCED = partial(variants.advanced_candidates, disposable=["mailinator.com"],
 BOUNDED = partial(variants.bounded_candidates, disposable=[], blocked=["*.web.com"])
 
 
-@pytest.mark.parametrize("find", [ADVANCED, BOUNDED, partial(variants.service, mode="all")])
+@pytest.mark.parametrize("find", [ADVANCED, BOUNDED, partial(variants.service, mode="all", rules=["com", "org"])])
 def test_runs_add_up(spark, tmp_path, find):
     root, out = tmp_path / "in", tmp_path / "out"
     root.mkdir()
@@ -43,17 +43,27 @@ def test_runs_add_up(spark, tmp_path, find):
         assert provenance["jane@shop.com"].endswith("b.txt") and provenance["joe@shop.com"].endswith("a.txt")
 
 
-@pytest.mark.parametrize("limit, joins", [(10, "Broadcast"), (1, "Broadcast"), (0, "SortMerge")])
-def test_texts_are_shuffled_only_for_long_lists(spark, monkeypatch, limit, joins):
-    monkeypatch.setattr(jobs, "BROADCAST_PATHS", limit)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    texts = spark.createDataFrame([("a!/x", "1"), ("b", "2"), ("c", "3")], "source_id string, text string")
-    files = spark.createDataFrame([("a",), ("c",)], "path string")
-    ledger = spark.createDataFrame([("b",)], "path string")
-    left = jobs._texts_of(texts, files, ledger)
-    assert values(left, "source_id") == ["a!/x", "c"]
-    assert joins in left._jdf.queryExecution().executedPlan().toString()
-    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+@pytest.mark.parametrize("files", [20_000, 1])
+def test_each_file_is_opened_once(spark, tmp_path, monkeypatch, files):
+    monkeypatch.setattr(jobs, "PASS_FILES", files)
+    root, out, log = tmp_path / "in", tmp_path / "out", tmp_path / "opened"
+    root.mkdir()
+
+    def reader(content):
+        with open(log, "ab") as file:
+            file.write(content + b"\n")
+        return content.decode()
+
+    for i in range(3):
+        (root / f"a {i}.bin").write_text(f"a{i}@x.com http://x.com/{i}")
+    (root / "b[1].txt").write_text("b@x.com")
+    for run, expected in enumerate((3, 3, 4)):
+        if run == 2:
+            (root / "a 3.bin").write_text("a3@x.com http://x.com/3")
+        jobs.run(spark, str(root), str(out), BOUNDED, readers={".bin": reader})
+        assert len(log.read_text().split()) == 2 * expected
+    assert lines(spark, out / "emails") == ["a0@x.com", "a1@x.com", "a2@x.com", "a3@x.com", "b@x.com"]
+    assert lines(spark, out / "urls") == ["http://x.com/0"]  # one a host, over all runs
 
 
 def test_files_without_reader_wait_for_one(spark, tmp_path):

@@ -12,6 +12,7 @@ from contactmine.fixed_values import LOOSE_EMAIL, STRICT_EMAIL
 from contactmine.functions import emails as E
 from contactmine.functions.text import any_of
 from contactmine.operators import extract
+from contactmine.operators.domains import DEFAULT_RULES
 from contactmine.plans import variants
 
 TEXTS = [
@@ -31,9 +32,9 @@ def test_order_and_partitioning_do_not_matter(spark):
     for find in (
         lambda c: variants.advanced_candidates(c, ["shop.com"], ["web.co"]),
         lambda c: variants.bounded(c, ["b.web.co.uk"], ["a.*"]),
-        lambda c: variants.service(c, "root"),
-        lambda c: variants.service(c, "subdomain"),
-        lambda c: variants.service_map(c, "root", max_per_row=2).withColumn("urls", F.array_join("urls", " ")),
+        lambda c: variants.service(c, "root", rules=DEFAULT_RULES),
+        lambda c: variants.service(c, "subdomain", rules=DEFAULT_RULES),
+        lambda c: variants.service_map(c, "root", max_per_row=2, rules=DEFAULT_RULES).withColumn("urls", F.array_join("urls", " ")),
     ):
         assert rows(find(frame)) == rows(find(shuffled))
 
@@ -41,7 +42,7 @@ def test_order_and_partitioning_do_not_matter(spark):
 def test_doubling_the_corpus_changes_no_value(spark):
     frame = spark.createDataFrame([("s", t) for t in TEXTS], "source_id string, text string")
     double = frame.unionByName(frame)
-    for find in (variants.simple, lambda c: variants.advanced(c, [], []), lambda c: variants.service(c, "all")):
+    for find in (variants.simple, lambda c: variants.advanced(c, [], []), lambda c: variants.service(c, "all", rules=DEFAULT_RULES)):
         assert rows(find(frame)) == rows(find(double))
 
 
