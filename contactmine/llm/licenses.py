@@ -1,10 +1,11 @@
 """Licence scan by a positional index of rare tokens, in DataFrame functions alone.
 
 Templates are word sequences of licence texts and notices. Their postings give the places of
-each word. Of a document that holds a template's mandatory key phrase, the licence words of
-highest IDF (counted over all documents) are looked up: each occurrence less each posting's
-place is where the template would start, and the start that most of them agree on is where
-the template is compared word by word. Everything is row by row but for the counts.
+its words of highest IDF (counted over all documents): one place more than a text can get
+wrong and still reach SIMILARITY, so every start worth comparing has a hit. In a document that
+holds a template's mandatory key phrase these words are looked up: each occurrence less each
+posting's place is where the template would start. At each such start the template is compared
+word by word, and its best share counts. Everything is row by row but for the counts.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from contactmine.llm.common import ascii_lower, computed, texts
 from contactmine.llm.literals import literal
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RARE_WORDS = 8
 SIMILARITY = 0.6
 # The phrases that count as places, and the label of each.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
@@ -45,11 +45,13 @@ WORDS = sorted({w for _, _, text in TEMPLATES for w in text.split()})
 TEMPLATE_TYPE = "array<struct<label:string,phrase:string,words:array<string>,places:map<string,array<int>>>>"
 
 
-def _postings() -> list[dict]:
+def _postings(weights: dict[str, float]) -> list[dict]:
     made = []
     for label, phrase, text in TEMPLATES:
         words = text.split()
-        places = {w: [i for i, x in enumerate(words) if x == w] for w in words}
+        needed = next(n for n in range(len(words) + 1) if n / len(words) >= SIMILARITY)
+        rarest = sorted(range(len(words)), key=lambda i: (-weights[words[i]], words[i], i))[:len(words) - needed + 1]
+        places = {words[i]: sorted(j for j in rarest if words[j] == words[i]) for i in rarest}
         made.append({"label": label, "phrase": phrase, "words": words, "places": places})
     return made
 
@@ -98,46 +100,35 @@ def _weights(df: DataFrame) -> dict[str, float]:
     return {w: math.log((1 + documents) / (1 + found.get(w, 0))) for w in WORDS}
 
 
-def _votes(starts: Column) -> Column:
-    """The commonest value of an array; the smallest of them on a tie; null if it is empty."""
-    step = lambda s, x: F.struct(
-        x.alias("value"), F.when(s.value == x, s.run + 1).otherwise(1).alias("run"),
-        F.greatest(s.best, F.when(s.value == x, s.run + 1).otherwise(1)).alias("best"),
-        F.when(F.when(s.value == x, s.run + 1).otherwise(1) > s.best, x).otherwise(s.at).alias("at"),
-    )
-    none = F.lit(None).cast("int")
-    empty = F.struct(none.alias("value"), F.lit(0).alias("run"), F.lit(0).alias("best"), none.alias("at"))
-    return F.aggregate(F.array_sort(starts), empty, step, lambda s: s["at"])
-
-
 def _scored(df: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Adds ``matched``: label and share of words of each template that aligns well enough."""
-    templates, idf = literal(_postings(), TEMPLATE_TYPE), literal(weights, "map<string,double>")
+    postings = _postings(weights)
+    templates = literal(postings, TEMPLATE_TYPE)
+    rare = sorted({w for t in postings for w in t["places"]})
     phrases = sorted({p for _, p, _ in TEMPLATES})
     guard = F.lit(False)
     for phrase in phrases:
         guard = guard | F.col("spaced").contains(f" {phrase} ")
     words = F.split(F.substring("spaced", F.lit(2), F.length("spaced") - 2), " ")
-    own = F.array_intersect(F.col("words"), F.lit(WORDS))
-    ranked = F.array_sort(F.transform(own, lambda w: F.struct((-idf[w]).alias("idf"), w.alias("w"))))
-    rare = F.transform(F.slice(ranked, 1, RARE_WORDS), lambda x: x.w)
     placed = F.transform(F.col("words"), lambda w, i: F.struct(i.alias("i"), w.alias("w")))
-    hits = F.filter(placed, lambda x: F.array_contains(F.col("rare"), x.w))
+    hits = F.filter(placed, lambda x: x.w.isin(rare))
 
     def starts(t: Column) -> Column:
         at = F.filter(F.col("hits"), lambda h: F.map_contains_key(t.places, h.w))
-        return F.flatten(F.transform(at, lambda h: F.transform(t.places[h.w], lambda p: h.i - p)))
+        return F.array_distinct(F.flatten(F.transform(at, lambda h: F.transform(t.places[h.w], lambda p: h.i - p))))
 
     def share(t: Column, start: Column) -> Column:
         same = F.filter(t.words, lambda w, j: F.get(F.col("words"), start + j) == w)
-        return F.when(start.isNull(), 0.0).otherwise(F.size(same) / F.size(t.words))
+        return F.size(same) / F.size(t.words)
+
+    def best(t: Column) -> Column:
+        return F.coalesce(F.array_max(F.transform(starts(t), lambda s: share(t, s))), F.lit(0.0))
 
     aligned = F.transform(templates, lambda t: F.struct(
-        t.label.alias("label"), F.when(F.col("spaced").contains(F.concat(F.lit(" "), t.phrase, F.lit(" "))), share(t, _votes(starts(t)))).otherwise(0.0).alias("share"),
+        t.label.alias("label"), F.when(F.col("spaced").contains(F.concat(F.lit(" "), t.phrase, F.lit(" "))), best(t)).otherwise(0.0).alias("share"),
     ))
     some = F.col("words").isNotNull()
     df = computed(df, "words", F.when(guard, words))
-    df = computed(df, "rare", F.when(some, rare))
     df = computed(df, "hits", F.when(some, hits))
     return computed(df, "matched", F.when(some, F.filter(aligned, lambda x: x.share >= SIMILARITY)))
 
@@ -146,7 +137,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """``[doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score]`` of every row.
 
     ``labels`` has the base labels and those of the templates found; ``score`` is the largest
-    share of a template's words that stand in its order, 0 without any. Null and empty texts
+    share of a template's words that stand in its order anywhere in the text, 0 without any. Null and empty texts
     have no words; rows that repeat, or lack an id, are each scanned. An empty table gives
     an empty result; other columns are ignored."""
     rows = computed(texts(docs), "spaced", _spaced(ascii_lower(F.col("text")))).drop("text")

@@ -162,6 +162,32 @@ def test_licenses_by_template(spark):
     assert got == {1: "bsd", 2: "cc-by-nc", 3: ""}
 
 
+def test_licenses_of_several_texts(spark):
+    def best(words, template):
+        return max(sum(0 <= s + j < len(words) and words[s + j] == w for j, w in enumerate(template)) / len(template) for s in range(-len(template), len(words)))
+
+    def brute(text):
+        spaced = f" {text} "
+        labels = {label for phrase, label in licenses.PHRASES if f" {phrase} " in spaced}
+        shares = [(label, best(text.split(), t.split())) for label, phrase, t in licenses.TEMPLATES if f" {phrase} " in spaced]
+        shares = [(label, share) for label, share in shares if share >= licenses.SIMILARITY]
+        return ",".join(sorted(labels | {label for label, _ in shares})), max((share for _, share in shares), default=0.0)
+
+    rng = random.Random(7)
+    text_of = {label: text for label, _, text in licenses.TEMPLATES}
+    texts = [" ".join(text_of[x] for x in ("agpl", "bsd", "isc", "unlicense", "mpl"))]
+    bsd = text_of["bsd"].split()
+    for kept in range(1, 12):  # an earlier start, not like enough, that shares the first words in the alphabet
+        first = set(sorted(set(bsd))[:kept])
+        texts.append(" ".join(w if w in first else "x" for w in bsd) + " and then " + " ".join(bsd))
+    for _ in range(60):
+        parts = [" ".join(rng.choice([w, w, w, w, "x", f"{w} x"]) for w in rng.choice(licenses.TEMPLATES)[rng.choice([1, 2, 2])].split()) for _ in range(12)]
+        texts.append(" filler ".join(parts))
+    out = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.labels, r.score) for r in out} == {i: brute(t) for i, t in enumerate(texts)}
+    assert "unlicense" in out[0].labels
+
+
 def test_decontamination(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(300)]
