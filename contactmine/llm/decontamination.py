@@ -1,9 +1,10 @@
-"""Benchmark decontamination: rare word n-grams seed, Smith-Waterman alignment decides.
+"""Benchmark decontamination: word n-grams seed, Smith-Waterman alignment decides.
 
-Of every SPREAD consecutive n-grams of a test item the one that the fewest documents hold is a
-seed, so any run of SEED + SPREAD - 1 words that a document shares with an item holds one, however
-often the item was copied. A first pass over the documents counts in how many each n-gram of
-the items is; a second one looks for the seeds, aligns the words around each hit with the
+Every n-gram of a test item that a document holds is a seed, so any run of SEED words that a
+document shares with an item holds one, however much stands edited around it. What shares
+shorter runs only (edits in every third word or closer) isn't aligned, whatever it would score.
+A first pass over the documents counts in how many each n-gram of the items is, and those in
+none are left out; a second one looks for the seeds, aligns the words around each hit with the
 item, and returns a row per document and item whose best alignment reaches ``similarity``.
 Items are taken in blocks of BLOCK_WORDS words, so what goes to each task has a bound; larger
 benchmarks take more passes. Both passes are row by row: no text is shuffled.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from contactmine.llm.common import saved, texts
 
-SEED, SPREAD = 3, 2
+SEED = 3
 MATCH, MISS, GAP = 2, -1, -1
 SIMILARITY = 0.5
 BLOCK_WORDS = 1 << 20
@@ -40,10 +41,8 @@ class Items:
         self.ids, self.number = [r[0] for r in rows], {}
         self.words = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in words(t)], np.int64) for _, t in rows]
         grams: dict[int, list[tuple[int, int]]] = {}
-        self.grams = []
         for i, item in enumerate(self.words):
             codes = self.codes(item, min(SEED, len(item))) if len(item) else item
-            self.grams.append(codes)
             for place, code in enumerate(codes.tolist()):
                 grams.setdefault(code, []).append((i, place))
         self.lengths = sorted({min(SEED, len(w)) for w in self.words if len(w)})
@@ -75,16 +74,9 @@ class Items:
         return (np.concatenate(places), np.concatenate(found)) if places else (np.zeros(0, np.int64),) * 2
 
     def choose(self, documents: np.ndarray) -> None:
-        """Keep as seeds the n-gram of each SPREAD that the fewest documents hold."""
-        count = dict(zip(self.keys.tolist(), documents.tolist()))
-        seeds: dict[int, set[tuple[int, int]]] = {}
-        for i, codes in enumerate(self.grams):
-            codes = codes.tolist()
-            for start in range(max(1, len(codes) - SPREAD + 1) if codes else 0):
-                place = min(range(start, min(start + SPREAD, len(codes))), key=lambda p: (count[codes[p]], p))
-                seeds.setdefault(codes[place], set()).add((i, place))
-        self.places = {code: sorted(found) for code, found in seeds.items()}
-        self.keys = np.array(sorted(seeds), np.int64)
+        """Keep as seeds the n-grams that any document holds."""
+        self.keys = self.keys[documents > 0]
+        self.places = {code: self.places[code] for code in self.keys.tolist()}
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:

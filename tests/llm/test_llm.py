@@ -204,6 +204,26 @@ def test_decontamination(spark):
     assert first.score == 1.0 and (first.first_word, first.last_word) == (50, 79)
 
 
+def test_decontamination_between_edits(spark):
+    rng = random.Random(5)
+    items = [(i, [f"i{i}w{k}" for k in range(16)]) for i in range(6)]
+    texts = [" ".join("x" if k % 4 == 3 else w for k, w in enumerate(items[0][1])), " ".join(items[0][1])]
+    texts += [" ".join("x" if rng.random() < 0.28 else w for w in rng.choice(items[1:])[1]) for _ in range(80)]
+
+    def shared(text, item):
+        text = text.split()
+        runs = {tuple(text[k:k + 3]) for k in range(14)} & {tuple(item[k:k + 3]) for k in range(14)}
+        number = {w: k for k, w in enumerate(item, 1)}
+        return runs and decontamination.align(np.arange(1, 17), np.array([number.get(w, 0) for w in text]))[0] >= 16
+
+    out = decontamination.contaminated(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
+        spark.createDataFrame([(i, " ".join(words)) for i, words in items], "item_id long, text string"),
+    )
+    assert found(out, "doc_id", "item_id") == collections.Counter((k, i) for k, t in enumerate(texts) for i, words in items if shared(t, words))
+    assert (0, 0) in found(out, "doc_id", "item_id")
+
+
 def test_alignment_equals_plain_smith_waterman():
     rng = np.random.default_rng(0)
     for _ in range(40):
