@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -373,6 +374,27 @@ def test_secret_network_learns(spark):
     assert all("assign" in out[i] and "hex" in out[i] for i in range(400))
 
 
+def test_secrets_inside_long_candidates():
+    class Upper:  # takes a window with 24 capitals in a row for a secret
+        threshold = 0.5
+
+        def scores(self, codes):
+            return np.array([float(b"K" * 24 in bytes(c)[secrets.BEFORE:secrets.BEFORE + secrets.INSIDE]) for c in codes])
+
+    key = "K" * 24
+    for at in range(0, 300, 7):
+        path = "a/" * (at // 2) + key + "/b" * 150
+        frame = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [f"see {path} there"]})
+        assert next(secrets._scanner(Upper())(iter([frame]))).column("spans").to_pylist() == [f"network:4:{4 + len(path)}"]
+    hexed = "0123456789abcdef01234567"
+    frame = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": [f"{key}X{hexed}", hexed, "no/secret/" * 9]})
+    spans = next(secrets._scanner(Upper())(iter([frame]))).column("spans").to_pylist()
+    assert spans == ["network:0:49,hex:25:49", "hex:0:24", ""]
+    labels = next(secrets._labelled(iter([pa.RecordBatch.from_pydict({"text": ["a/" * 60 + "X" + hexed, "g" * 100]})]))).to_pylist()
+    assert sum(r["secret"] for r in labels) < len(labels) and all((b"0123" in r["codes"][24:72]) <= r["secret"] for r in labels)
+    assert {r["codes"][24:72] for r in labels if not r["secret"]} == {b"g" * 48}
+
+
 def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     extra = docs.limit(1).select(F.lit(900001).cast("long").alias("doc_id"), F.lit("12 34 --").alias("text"), "lang", "source", "n_chars")
