@@ -26,7 +26,7 @@ SCALE = 100.0
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 0.02, 0.02, 4
 CALIBRATE = 5
 CHUNK = 1 << 18
-UNKNOWN = "und"
+UNKNOWN, NO_MODEL = "und", "no model"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -169,14 +169,14 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model | None:
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``[doc_id, lang_pred, score]`` of every row; ``und`` with score 0 where a text is null or
-    has no letter, or no model could be learned."""
+    """``[doc_id, lang_pred, score]`` of every row; with score 0 ``und`` where a text is
+    null or has no letter, and ``no model`` for the others if none could be learned."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [
-                model.predict(text) if letters and model else (UNKNOWN, 0.0)
+                (UNKNOWN, 0.0) if not letters else model.predict(text) if model else (NO_MODEL, 0.0)
                 for letters, text in zip(batch.column("letters").to_pylist(), batch.column("text").to_pylist())
             ]
             yield pa.RecordBatch.from_arrays(

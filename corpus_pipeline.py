@@ -23,7 +23,7 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def with_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents whose language can be told: those without a letter go."""
+    """Documents that have a letter: what the model takes them for, or that there is none, rejects nothing."""
     found = language.languages(docs)
     kept = _without(docs, found.where(F.col("lang_pred") == language.UNKNOWN))
     return kept.where(F.col("text").rlike(r"\p{L}"))  # those without doc_id too

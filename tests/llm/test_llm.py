@@ -107,6 +107,12 @@ def test_language(spark, docs, odd):
     assert "zz" not in {r.lang_pred for r in language.languages(shuffled).collect()}
 
 
+def test_language_stage_without_a_model(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, "12 --", None), (3, None, None), (None, "more", None)], "doc_id long, text string, lang string")
+    assert found(language.languages(docs), "doc_id", "lang_pred") == collections.Counter({(1, "no model"): 1, (2, "und"): 1, (3, "und"): 1, (None, "no model"): 1})
+    assert found(corpus_pipeline.with_language(spark, docs, ""), "doc_id") == collections.Counter([(1,), (None,)])
+
+
 def test_warc(spark, tmp_path):
     long = "<p>" + "é" * 200
     pages = [(1, "http://b.org/x", long), (2, "https://www.A.com:8080/y?z", long), (3, None, None), (4, "", ""), (5, "not a url\r\nX: y", "é" * 49 + "a"),
