@@ -27,8 +27,3 @@ def corpus(spark):
         return spark.createDataFrame(rows, "source_id string, text string")
 
     return make
-
-
-def values(frame, column="value"):
-    """The column's values in order of their text."""
-    return sorted(row[column] for row in frame.select(column).collect())

@@ -7,7 +7,7 @@ import tarfile
 import zipfile
 
 import pytest
-from conftest import values
+from helpers import values
 from pyspark.sql import functions as F
 
 from contactmine.operators import extract

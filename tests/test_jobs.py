@@ -3,7 +3,7 @@
 from functools import partial
 
 import pytest
-from conftest import values
+from helpers import values
 
 from contactmine.plans import jobs, variants
 

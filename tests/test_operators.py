@@ -4,7 +4,7 @@ import random
 import re
 
 import pytest
-from conftest import values
+from helpers import values
 from pyspark.sql import functions as F
 
 from contactmine.operators import cells, dedup, domains, extract, lists, mapping, matching

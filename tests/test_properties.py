@@ -3,7 +3,7 @@
 import random
 import string
 
-from conftest import values
+from helpers import values
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

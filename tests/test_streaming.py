@@ -1,7 +1,7 @@
 """Streams: each value once, also over restarts; counters; bounded state."""
 
 import pytest
-from conftest import values
+from helpers import values
 from pyspark.sql import functions as F
 
 from contactmine.operators import extract
