@@ -154,11 +154,12 @@ def expand_archives(archives: DataFrame, max_depth: int | None = None) -> DataFr
 
 
 def read_files(
-    files: DataFrame, readers: Mapping[str, FileReader], max_depth: int | None = None
+    files: DataFrame, readers: Mapping[str, FileReader], max_depth: int | None = None, mark: bool = False
 ) -> DataFrame:
     """``[source_id, text, error]`` of binary files and of the members of archives.
 
-    ``readers`` maps an extension to ``bytes → str``; other members are read as text.
+    ``readers`` maps an extension to ``bytes → str``; other members are read as text.  With
+    ``mark`` each file also has a row of its own, without text and error, once it has been read.
     """
     readers = dict(readers)
 
@@ -178,6 +179,8 @@ def read_files(
                     yield pd.DataFrame(
                         [(name, text, error)], columns=["source_id", "text", "error"]
                     )
+                if mark:
+                    yield pd.DataFrame([(path, None, None)], columns=["source_id", "text", "error"])
 
     return files.select("path", "content").mapInPandas(run, TEXTS)
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from contactmine.fixed_values import COMPATIBLE_EXTENSIONS
 from contactmine.functions.text import (
@@ -32,6 +33,19 @@ def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
     )
 
 
+def stream_files(spark: SparkSession, root: str, per_batch: int) -> DataFrame:
+    """``scan_files`` as a stream: each file once over the life of a checkpoint, at most ``per_batch`` in a micro-batch."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    reader = _stream_reader(spark, per_batch).format("binaryFile").schema(schema)
+    return _located(reader.load(root), "path").select("path", "modificationTime", "length", "content", "ext")
+
+
+def _stream_reader(spark: SparkSession, per_batch: int) -> DataStreamReader:
+    # files count as new whatever their age: the log goes by path
+    options = {"recursiveFileLookup": True, "maxFilesPerTrigger": per_batch, "maxFileAge": "36500d"}
+    return spark.readStream.options(**options)
+
+
 def _located(files: DataFrame, name: str) -> DataFrame:
     """Add the file's URI as ``name`` and its extension as ``ext``; skip work folders."""
     path = F.col("_metadata.file_path")
@@ -81,15 +95,33 @@ def read_text_lines(
     the result would come after the lines have been numbered, with all files read.
     """
     reader = spark.read.option("recursiveFileLookup", True)
+    return numbered(_lines(reader, root, encoding, choose))
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """Lines with ``place``, that rises along a file, instead of the block they are in: not for streams, but for their batches."""
+    place = F.struct(F.col("block").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    return lines.select("source_id", place.alias("place"), *(c for c in lines.columns if c not in ("source_id", "block")))
+
+
+def stream_text_lines(
+    spark: SparkSession,
+    root: str,
+    per_batch: int,
+    encoding: str = "UTF-8",
+    choose: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """``[source_id, block, text, ext]``: ``read_text_lines`` as a stream, see ``stream_files``; for ``numbered``."""
+    return _lines(_stream_reader(spark, per_batch), root, encoding, choose)
+
+
+def _lines(reader: DataFrameReader | DataStreamReader, root: str, encoding: str, choose: Callable | None) -> DataFrame:
     if encoding.upper() != "UTF-8":
         reader = reader.option("encoding", encoding)
-    lines = _located(reader.text(root), "source_id").withColumn("_block", F.col("_metadata.file_block_start"))
+    lines = _located(reader.text(root), "source_id").withColumn("block", F.col("_metadata.file_block_start"))
     if choose is not None:
         lines = choose(lines)
-    place = F.struct("_block", F.monotonically_increasing_id().alias("_line"))
-    return lines.select(
-        "source_id", place.alias("place"), decode_ignoring_errors(F.col("value")).alias("text"), "ext"
-    )
+    return lines.select("source_id", "block", decode_ignoring_errors(F.col("value")).alias("text"), "ext")
 
 
 def read_whole_texts(spark: SparkSession, root: str) -> DataFrame:

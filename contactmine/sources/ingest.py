@@ -27,9 +27,14 @@ DEFAULT_READERS: dict[str, FileReader] = {
 }
 
 
+def with_reader(readers: Mapping[str, FileReader] | None = None) -> list[str]:
+    """The extensions of files that are opened whole, by a reader or as archives."""
+    return [*{**DEFAULT_READERS, **(readers or {})}, *ARCHIVE_EXTENSIONS]
+
+
 def without_reader(readers: Mapping[str, FileReader] | None = None) -> list[str]:
     """The known binary extensions that ``ingest`` reports as unread with these readers."""
-    read = {*DEFAULT_READERS, *(readers or {}), *ARCHIVE_EXTENSIONS, *TEXT_EXTENSIONS, ".csv"}
+    read = {*with_reader(readers), *TEXT_EXTENSIONS, ".csv"}
     return [e for e in COMPATIBLE_EXTENSIONS if e not in read]
 
 
@@ -55,7 +60,7 @@ def ingest(
     there and read back, so that each is opened once, however often the result is used.
     """
     chosen = {**DEFAULT_READERS, **(readers or {})}
-    opened = [*chosen, *ARCHIVE_EXTENSIONS]
+    opened = with_reader(readers)
     closed = without_reader(readers)
     none = F.lit(None).cast("string")
 
@@ -65,7 +70,7 @@ def ingest(
         return include_exclude(listed, include, exclude, path)
 
     files = wanted(scan_files(spark, root), "path")
-    is_opened, fits = F.col("ext").isin(opened), F.col("length") <= _row_limit(spark)
+    is_opened, fits = F.col("ext").isin(opened), F.col("length") <= row_limit(spark)
     binary = read_files(files.filter(is_opened & fits), chosen, max_depth)
     if keep_in is not None:
         binary.write.mode("overwrite").parquet(keep_in)
@@ -83,5 +88,6 @@ def ingest(
     return lines.unionByName(binary, allowMissingColumns=True).unionByName(unread, allowMissingColumns=True)
 
 
-def _row_limit(spark: SparkSession) -> int:
+def row_limit(spark: SparkSession) -> int:
+    """Bytes of the largest file that a row can hold."""
     return int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))

@@ -5,7 +5,9 @@ from functools import partial
 import pytest
 from helpers import values
 
+from contactmine.operators.sightings import current
 from contactmine.plans import jobs, variants
+from contactmine.sinks.commits import Commits
 
 
 def lines(spark, path):
@@ -80,3 +82,85 @@ def test_files_without_reader_wait_for_one(spark, tmp_path):
     assert lines(spark, out / "emails") == ["jane@shop.com", "joe@shop.com"]
     ledger = values(spark.read.parquet(str(out / "ledger")), "path")
     assert [p.rsplit("/", 1)[1] for p in ledger] == ["a.txt", "b.pdf"]
+
+
+PROVENANCE = "value string, source string"
+
+
+def outputs(spark, out):
+    """All lines of all tables, as any reader of the folders finds them."""
+    read = {"emails": spark.read.text, "urls": spark.read.text, "provenance": partial(spark.read.csv, schema=PROVENANCE)}
+    read |= dict.fromkeys(("ledger", "bad_sources"), spark.read.parquet)
+    names = {table: sorted(tuple(x.rsplit("/", 1)[-1] for x in row[:-1]) for row in open_(f"{out}/{table}").collect()) for table, open_ in read.items()}
+    seen = current(Commits(spark, str(out))).select("kind", "key", "value", "reason", "source_id").collect()
+    return names | {"sightings": sorted((*r[:4], r[4].rsplit("/", 1)[-1]) for r in seen)}
+
+
+@pytest.fixture
+def tree(tmp_path):
+    root = tmp_path / "in"
+    root.mkdir()
+    for i in range(3):
+        (root / f"t{i}.txt").write_text(f"joe@shop.com new{i}@shop.com http://a.org/{i}\nhttp://h{i}.org/")
+        (root / f"m{i}.eml").write_text(f"Subject: x\n\nhello joe@shop.com m{i}@b.org http://a.org/m{i}")
+    (root / "bad.docx").write_bytes(b"no zip")
+    (root / "c.pdf").write_bytes(b"unread")
+    return root
+
+
+@pytest.mark.parametrize("last", [1, 3, 4, 6, 8, 11])
+def test_killed_runs_leave_no_line_twice(spark, tree, tmp_path, monkeypatch, last):
+    jobs.run(spark, str(tree), str(tmp_path / "whole"), BOUNDED)
+    writes = []
+
+    def dies(self, batch, tables, frames):
+        for table, save in tables.items():
+            save(frames[table].write.mode("overwrite"), self.path(table, batch))
+            writes.append(table)
+            if len(writes) == last:
+                raise RuntimeError("killed")
+
+    with monkeypatch.context() as killed:
+        killed.setattr(Commits, "write", dies)
+        with pytest.raises(Exception, match="killed"):
+            jobs.run(spark, str(tree), str(tmp_path / "out"), BOUNDED)
+    for _ in range(2):
+        jobs.run(spark, str(tree), str(tmp_path / "out"), BOUNDED)
+        assert outputs(spark, tmp_path / "out") == outputs(spark, tmp_path / "whole")
+
+
+def test_first_sightings_do_not_depend_on_the_order_of_runs(spark, tree, tmp_path):
+    late = tmp_path / "late"
+    late.mkdir()
+    files = sorted(tree.iterdir())
+    seen = {}
+    for name, order in {"one": [files], "up": [files[:4], files[4:]], "down": [files[4:], files[:4]]}.items():
+        root = tmp_path / f"in-{name}"
+        root.mkdir()
+        for part in order:
+            for file in part:
+                (root / file.name).write_bytes(file.read_bytes())
+            jobs.run(spark, str(root), str(tmp_path / name), BOUNDED)
+        seen[name] = outputs(spark, tmp_path / name)
+    assert seen["one"]["sightings"] == seen["up"]["sightings"] == seen["down"]["sightings"]
+    assert seen["one"]["emails"] == seen["up"]["emails"] == seen["down"]["emails"]
+    # a small run writes only the buckets that its keys fall into, replaced ones go
+    (tmp_path / "in-one" / "z.txt").write_text("one.more@shop.com")
+    jobs.run(spark, str(tmp_path / "in-one"), str(tmp_path / "one"), BOUNDED)
+    commits = Commits(spark, str(tmp_path / "one"))
+    assert len(commits.rows[commits.with_table("sightings")[-1]].buckets) == 1
+    jobs.run(spark, str(tmp_path / "in-one"), str(tmp_path / "one"), BOUNDED)
+    assert current(commits).count() == len(seen["one"]["sightings"]) + 1
+    folders = [p.name for p in (tmp_path / "one" / "sightings").glob("*/bucket=*")]
+    assert len(folders) == len(set(folders))
+
+
+def test_export(spark, tree, tmp_path):
+    jobs.run(spark, str(tree), str(tmp_path / "out"), ADVANCED)
+    for _ in range(2):
+        jobs.export(spark, str(tmp_path / "out"), ["com", "org"])
+    assert lines(spark, tmp_path / "out" / "sorted_emails") == lines(spark, tmp_path / "out" / "emails")
+    maps = {r.key: r.urls for r in spark.read.json(str(tmp_path / "out" / "mapping_json")).collect()}
+    assert maps["a.org"] == sorted(f"http://a.org/{x}" for x in ("0", "1", "2", "m0", "m1", "m2"))
+    found = {r.kind: (r.n_found, r.n_kept) for r in spark.read.json(str(tmp_path / "out" / "totals")).collect()}
+    assert found["email"] == (7, 7)
