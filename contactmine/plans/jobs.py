@@ -87,7 +87,9 @@ class _Run:
         found = self.spark.read.parquet(kept_at)
         self.found.append(kept_at)
         fresh, buckets = merge(self.commits, batch, sighted(found))
-        fresh = fresh.filter(F.col("reason") == KEPT)
+        new_at = f"{self.out}/new_values/batch={batch}"  # three tables come from it
+        fresh.filter(F.col("reason") == KEPT).select("kind", "value", "source_id").write.mode("overwrite").parquet(new_at)
+        fresh = self.spark.read.parquet(new_at)
         frames = {
             "emails": fresh.filter(F.col("kind") == EMAIL).select("value"),
             "urls": fresh.filter(F.col("kind") == URL).select("value"),
@@ -154,7 +156,7 @@ def run(
     optional ``key`` (of the links, their host: one link per host is written over all runs):
     one of ``plans.variants`` with its lists filled in.  Under ``out``, by batch: ``emails`` and
     ``urls`` (text) and ``provenance`` (CSV, with ``source_id``) of values no earlier batch wrote,
-    ``candidates`` (parquet, all that ``find`` gave), ``binary_texts`` (parquet), ``bad_sources``, ``ledger`` and
+    ``candidates`` (parquet, all that ``find`` gave), ``new_values``, ``binary_texts``, ``bad_sources``, ``ledger`` and
     ``sightings`` (parquet, see ``operators.sightings``); and ``summary`` (JSON, with ``reason``), this
     run's counts.  ``commits`` says which batches count: no table holds a line twice, whenever a run was killed.
 

@@ -8,10 +8,11 @@ never run again.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, Row, SparkSession
 from pyspark.sql import functions as F
 
 COMMIT = "seq bigint, tables array<string>, buckets array<int>, batch string"
@@ -53,9 +54,10 @@ class Commits:
 
     def commit(self, batch: str, tables: list[str], buckets: list[int] | None = None) -> None:
         seq = max((r.seq for r in self.rows.values()), default=0) + 1
-        row = self.spark.createDataFrame([(seq, tables, buckets or [])], "seq bigint, tables array<string>, buckets array<int>")
-        row.coalesce(1).write.mode("overwrite").json(f"{self.folder}/commits/batch={batch}")
-        self.rows[batch] = row.withColumn("batch", F.lit(batch)).first()
+        row = {"seq": seq, "tables": tables, "buckets": buckets or []}
+        frame = self.spark.range(1).select(F.lit(json.dumps(row)).alias("value"))
+        frame.coalesce(1).write.mode("overwrite").text(f"{self.folder}/commits/batch={batch}")
+        self.rows[batch] = Row(batch=batch, **row)
 
     def read(self, table: str, reader: Callable[..., DataFrame], schema: str) -> DataFrame:
         """The committed rows of a table, with ``batch``; an empty frame of ``schema`` before the first."""
