@@ -1,13 +1,13 @@
-"""Benchmark decontamination: word n-grams seed, Smith-Waterman alignment decides.
-
-Every n-gram of a test item that a document holds is a seed, so any run of SEED words that a
-document shares with an item holds one, however much stands edited around it. What shares
-shorter runs only (edits in every third word or closer) isn't aligned, whatever it would score.
-A first pass over the documents counts in how many each n-gram of the items is, and those in
-none are left out; a second one looks for the seeds, aligns the words around each hit with the
-item, and returns a row per document and item whose best alignment reaches ``similarity``.
+"""Benchmark decontamination: rare word n-grams seed, Smith-Waterman alignment decides.
+
+Every n-gram of a test item is a seed, so any run of SEED words that a document shares with an
+item holds one, however much stands edited around it. What shares shorter runs only (edits in every
+third word or closer) isn't aligned, whatever it would score. One pass over the documents looks
+for the seeds and aligns the words around each hit with the item: first around the seeds that fewest
+items hold, then the others, as long as the item's words that stand there could still
+score more. A row per document and item tells the best alignment that reaches ``similarity``.
 Items are taken in blocks of BLOCK_WORDS words, so what goes to each task has a bound; larger
-benchmarks take more passes. Both passes are row by row: no text is shuffled.
+benchmarks take more passes. Passes are row by row: no text is shuffled.
 """
 
 from __future__ import annotations
@@ -47,6 +47,7 @@ class Items:
                 grams.setdefault(code, []).append((i, place))
         self.lengths = sorted({min(SEED, len(w)) for w in self.words if len(w)})
         self.places, self.keys = grams, np.array(sorted(grams), np.int64)
+        self.bearers = {code: len({i for i, _ in places}) for code, places in grams.items()}
 
     def codes(self, numbers: np.ndarray, length: int) -> np.ndarray:
         """One number per n-gram; n-grams of other lengths or with unknown words never equal it."""
@@ -73,11 +74,6 @@ class Items:
                 found.append(at[hit])
         return (np.concatenate(places), np.concatenate(found)) if places else (np.zeros(0, np.int64),) * 2
 
-    def choose(self, documents: np.ndarray) -> None:
-        """Keep as seeds the n-grams that any document holds."""
-        self.keys = self.keys[documents > 0]
-        self.places = {code: self.places[code] for code in self.keys.tolist()}
-
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """Best local score of two number sequences, and where in ``text`` it ends (exclusive)."""
@@ -96,27 +92,30 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 def _matches(items: Items, text: str, similarity: float) -> Iterator[tuple[int, float, int, int]]:
     numbers = items.numbers(text)
-    by_item: dict[int, list[int]] = {}
+    by_item: dict[int, list[tuple[int, int]]] = {}
     for place, key in zip(*(x.tolist() for x in items.hits(numbers, items.keys))):
-        for item, offset in items.places[int(items.keys[key])]:
-            by_item.setdefault(item, []).append(place - offset)
+        code = int(items.keys[key])
+        for item, offset in items.places[code]:
+            by_item.setdefault(item, []).append((place - offset, items.bearers[code]))
     for item, starts in sorted(by_item.items()):
         wanted = items.words[item]
-        size, best = len(wanted), (0, 0, 0)
-        starts, i = sorted(starts), 0
-        while i < len(starts):
+        size, best, spans = len(wanted), (0, 0, 0), []
+        for start, bearers in sorted(starts):
             # hits whose surroundings overlap are aligned together
-            low, high = starts[i] - size // 2, starts[i] + size + size // 2
-            i += 1
-            while i < len(starts) and starts[i] - size // 2 <= high:
-                high, i = starts[i] + size + size // 2, i + 1
+            low, high = start - size // 2, start + size + size // 2
+            if spans and low <= spans[-1][2]:
+                spans[-1] = (min(bearers, spans[-1][0]), spans[-1][1], high)
+            else:
+                spans.append((bearers, low, high))
+        for _, low, high in sorted(spans):
             low = max(0, low)
             part = numbers[low:high]
             # no alignment scores more than the item's words that are there at all
-            if np.isin(wanted, part).sum() < similarity * size:
+            most = int(np.isin(wanted, part).sum())
+            if most < similarity * size or most * MATCH < best[0]:
                 continue
             score, end = align(wanted, part)
-            if score > best[0]:
+            if score > best[0] or score == best[0] and low < best[1]:
                 best = (score, low, low + end)
         score, low, end = best
         if score >= similarity * MATCH * size and score:
@@ -134,18 +133,6 @@ def _blocks(benchmark: DataFrame) -> Iterator[Items]:
         yield Items(sorted(((r.item_id, r.text) for r in found), key=lambda r: (r[0] is not None, r[0] or 0, r[1])))
 
 
-def _counter(items: Items):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(len(items.keys), np.int64)
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found[np.unique(items.hits(items.numbers(text), items.keys)[1])] += 1
-        at = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(found[at], pa.int64())], ["gram", "n"])
-
-    return count
-
-
 def _finder(items: Items, similarity: float):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,11 +157,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     also those without doc_id; equal items each match. Empty tables give an empty result; other columns are ignored."""
     rows, found = texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint")), None
     for items in _blocks(benchmark):
-        counts = rows.select("text").mapInArrow(_counter(items), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n"))
-        documents = np.zeros(len(items.keys), np.int64)
-        for gram, n in counts.collect():  # a row per n-gram of the block's items at most
-            documents[gram] = n
-        items.choose(documents)
-        block = rows.mapInArrow(_finder(items, similarity), FOUND)
+        # each block's result is written before the next block's items are read
+        block = saved(rows.mapInArrow(_finder(items, similarity), FOUND), "contaminated")
         found = block if found is None else found.unionAll(block)
-    return saved(found, "contaminated")
+    return found
