@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from contactmine.llm.common import BATCH_ROWS, texts
+from contactmine.llm.common import BATCH_ROWS, saved, texts
 
 BITS, ORDERS = 16, (1, 2, 3)
 SAMPLE = 800
@@ -39,7 +39,7 @@ def _points(text: str) -> np.ndarray:
 
 def _buckets(points: np.ndarray, order: int) -> np.ndarray:
     """The bucket of the n-gram that starts at each place."""
-    n = len(points) - order + 1
+    n = max(0, len(points) - order + 1)  # a last chunk can be shorter
     key = np.full(n, order, np.uint64)
     for i in range(order):
         key = (key << np.uint64(21)) ^ points[i:i + n]
@@ -103,10 +103,10 @@ class Model:
             return np.where(np.abs(za) <= L1, 0.0, w)
 
         order = np.random.default_rng(0)
-        inputs = [(y, np.append(at, len(self.idf)), np.append(share * self.idf[at] * SCALE, 1.0)) for y, at, share in rows]
         for _ in range(EPOCHS):
-            for i in order.permutation(len(inputs)):
-                y, at, x = inputs[i]
+            for i in order.permutation(len(rows)):
+                y, at, share = rows[i]
+                at, x = np.append(at, len(self.idf)), np.append(share * self.idf[at] * SCALE, 1.0)
                 w = weights(at)
                 p = _softmax((x @ w)[None])[0]
                 p[y] -= 1
@@ -144,21 +144,32 @@ def _softmax(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _learnable(rows: DataFrame) -> DataFrame:
+    return rows.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.xxhash64("doc_id").alias("order"), "text")
+
+
+def sampled(rows: DataFrame, sample: int) -> DataFrame:
+    """``[lang, order, text]`` of the ``sample`` rows of each language whose hashes ``order`` are the smallest, read unsigned.
+
+    About twice as many of each language pass its hash's threshold, however many rows there are; those are ranked."""
+    learn = _learnable(rows).withColumn("share", F.shiftrightunsigned("order", 1) / float(2**63))
+    sizes = saved(learn.groupBy("lang").agg(F.count("*").alias("rows")), "languages")  # a row each: their size is known
+    near = learn.join(sizes, "lang").where(F.col("share") * F.col("rows") < 2 * sample)
+    first = Window.partitionBy("lang").orderBy("share", "text")
+    return near.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample).select("lang", "order", "text")
+
+
 def train(rows: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model of ``[doc_id, text, lang]``; None if there is no row with text and lang."""
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    learn = rows.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang", F.xxhash64("doc_id").alias("order"))
-    counts = learn.select("text").mapInArrow(_frequencies, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n"))
+    counts = _learnable(rows).select("text").mapInArrow(_frequencies, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n"))
     counted = dict(tuple(r) for r in counts.collect())  # a row per bucket: 2^16 and one at most
     documents = counted.pop(-1, 0)
     if not documents:
         return None
     found = np.zeros(1 << BITS)
     found[list(counted)] = list(counted.values())
-    # Spark keeps the first rows of each language within each task before it shuffles them
-    first = Window.partitionBy("lang").orderBy("order", "text")
-    picked = learn.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample).drop("rank")
-    vectors = picked.select("lang", "order", "text").mapInArrow(_vectors, "lang string, order bigint, at binary, share binary").collect()
+    vectors = sampled(rows, sample).mapInArrow(_vectors, "lang string, order bigint, at binary, share binary").collect()
     languages = sorted({v.lang for v in vectors})
     made = [(v.order, languages.index(v.lang), np.frombuffer(v.at, np.int32), np.frombuffer(v.share, np.float32)) for v in vectors]
     made.sort(key=lambda v: (v[0], v[1], len(v[2]), v[2].tobytes()))
