@@ -89,6 +89,15 @@ class Encoder:
         self._keep(new)
         return new
 
+    def _ends_in_letter(self, stem: str) -> bool:
+        """Whether what follows the stem is cut off from it: a mark that normalising leaves at its end (as of ``İ``)
+        would join punctuation."""
+        if not stem.isalnum():
+            return False
+        if not stem.isascii() and self.tokenizer.normalizer:
+            stem = self.tokenizer.normalizer.normalize_str(stem)
+        return stem[-1:].isalnum()
+
     def _keep(self, new: dict[bytes, bytes]) -> None:
         if len(self.known) < CACHED:
             self.known.update((p, ids) for p, ids in new.items() if len(p) <= CACHED_LENGTH)
@@ -103,7 +112,7 @@ class Encoder:
         for p in missing:
             low = p if b"<|" in p else p.lower()  # a special token counts as it is written
             stem = low.rstrip(TAIL)
-            whole = len(stem) in (0, len(low)) or not stem.decode().isalnum()
+            whole = len(stem) in (0, len(low)) or not self._ends_in_letter(stem.decode())
             parts[p] = (low,) if whole else (stem, low[len(stem):])
         needed = {q for qs in parts.values() for q in qs}
         new = {q: known[q] for q in needed & known.keys()}
