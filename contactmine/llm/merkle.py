@@ -15,10 +15,10 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactmine.llm.common import saved
+from contactmine.llm.common import ranked, saved
 
 SPAN = 8
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -93,22 +93,6 @@ def leaf_digest(values: Iterable[Column]) -> Column:
     return F.sha2(F.concat(*[F.coalesce(F.concat(F.octet_length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in texts]), 256)
 
 
-def ranked(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """``rows`` with their place ``at`` in their group and its ``size``, without a task that sees a whole group.
-
-    ``order`` has to tell rows apart, or a key that many bear would be one task."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(parts, group, *order).sortWithinPartitions(group, *order)
-    placed = placed.withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.shiftrightunsigned("_row", 33))
-    placed = saved(placed, "placed")
-    starts = placed.groupBy(group, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
-    mine = Window.partitionBy(group)  # a row per partition and group
-    before = F.sum("_n").over(mine.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = starts.select(group, "_part", "_first", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(mine).alias("size"))
-    found = placed.join(starts, [group, "_part"]).withColumn("at", F.col("_row") - F.col("_first") + F.col("_before"))
-    return found.drop("_row", "_part", "_first", "_before")
-
-
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """One row at a time: a row holds a whole partition."""
     for batch in batches:

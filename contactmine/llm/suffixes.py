@@ -4,7 +4,7 @@ Windows of WINDOW bytes are told apart in two steps. First, every window is assi
 anchor: the place in it whose GRAM-byte string has the smallest hash, the leftmost on a tie.
 Equal windows have equal anchors, so they can only be found under the same anchor hash. The
 windows of one anchor make one stretch of text, a mini. Only hashes of anchors and minis, a row
-for about 35 bytes of text, are shuffled; whole minis that occurred before are repeats.
+for about 43 bytes of text, are shuffled; whole minis that occurred before are repeats.
 
 Second, minis of one anchor that differ can still share windows. These alone are gathered as
 text, distinct, and in tasks that own anchor hashes joined to a text whose Burrows-Wheeler
@@ -27,15 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactmine.llm.common import bitmap_of, in_bitmap, saved, texts
+from contactmine.llm.common import bitmap_of, in_bitmap, ranked, saved, texts
 
-WINDOW, GRAM = 100, 32
+WINDOW, GRAM = 100, 16
 PLACES = WINDOW - GRAM + 1
 CROWDED = 2000
 BLOCK, CHUNK = 1 << 18, 1 << 22
 FILTER_BITS = 24
 MIXED = np.uint64(0x9E3779B97F4A7C15)
-NO_ID = -(2**63)
 ANCHOR = "h bigint, g bigint, doc bigint, first int, last int"
 SPAN = "doc bigint, a int, b int"
 
@@ -271,15 +270,25 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``doc``, a number of its own for each row, in order of doc_id: doc_id itself where all differ,
+    else the place among all rows, for which the texts are written once more."""
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
+    if ids.isEmpty():
+        return rows.withColumn("doc", F.col("doc_id"))
+    order = ["doc_id", "hash", "tie"]
+    tied = rows.withColumns({"hash": F.xxhash64("text"), "tie": F.monotonically_increasing_id(), "all": F.lit(0)})
+    placed = ranked(saved(tied, "tied"), "all", order)
+    return saved(placed.select("doc_id", "text", F.col("at").alias("doc")), "numbered")
+
+
 def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """``[doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept]`` of every row; ``kept`` has the bytes left.
 
-    Null and empty texts have no bytes. A row without doc_id comes before all others. Rows that
-    share a doc_id count as one document: what is common to them is not a repeat, what one of them
-    repeats of itself or of earlier documents is removed from each at that place. An empty table
-    gives an empty result; other columns are ignored."""
-    rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID)))
+    Null and empty texts have no bytes. Rows without doc_id come before all others. Rows that
+    share a doc_id, or have none, are documents each, in order of their texts' hashes: of rows that repeat one
+    keeps its bytes. An empty table gives an empty result; other columns are ignored."""
+    rows = _numbered(texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint")))
     spans = saved(repeated_spans(rows.select("doc", "text"), crowded), "spans")
     spans = saved(spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "doc_spans")
     # documents without a span never leave their scan
