@@ -3,13 +3,16 @@
 A list is a Python sequence or a DataFrame with an ``entry`` column.  A sequence
 of up to LITERAL_LIMIT entries becomes one expression: no join, no shuffle.  Any
 other list is matched by equality joins alone, so the cost per key depends on the
-key's length and not on the length of the list:
+key's length and not on the length of the list or on how its entries' lengths vary:
 
-* the distinct keys are cut into fragments as long as list entries are,
-* fragments are semi-joined with the entries,
+* the distinct keys are cut into q-grams, one for each position,
+* every entry is filed under the q-gram of its own that fewest keys hold,
+* keys meet the entries filed under their q-grams, at most PART in a row, and are tested
+  against each,
 * the matching keys are joined back.
 
-No join is hinted: Spark broadcasts a side only when its size is known to be
+Equal keys and endings at a dot need no q-grams: they are looked up as they are.  No job runs
+while a plan is built.  No join is hinted: Spark broadcasts a side only when its size is known to be
 under ``spark.sql.autoBroadcastJoinThreshold`` and else sort-merges, where
 adaptive execution splits a key that holds a large part of the rows.
 """
@@ -26,6 +29,11 @@ from contactmine.operators.settle import settle
 
 LITERAL_LIMIT = 200
 
+# Length of q-grams; shorter entries are filed under all of themselves.
+GRAM = 3
+# Entries in one row of the index.
+PART = 100
+
 # any case, also outside ASCII; "." stops at line feeds only
 _WILDCARD_MODE = "(?idu)"
 
@@ -81,39 +89,60 @@ def flag_suffix(
             lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
         )
         return _flag_by_fragments(df, key, lambda keys: _explode(keys, endings), listed, flag)
-    lengths = _lengths(listed)
-    return _flag_by_fragments(
-        df, key, lambda keys: _explode(_per_length(keys, lengths), F.array(_right("_key", "_n"))),
-        listed, flag,
-    )
+    return _flag_by_grams(df, key, _whole(listed), flag, lambda text, entry: F.endswith(text, entry["entry"]))
 
 
 def flag_substring(df: DataFrame, key: Column, entries: Entries, flag: str) -> DataFrame:
     """``flag`` is true where an entry stands anywhere in ``key``."""
     if _is_literal(entries):
         return _with_test(df, flag, key, any_of(entries))
-    listed = _as_frame(df, entries)
-    return _flag_by_fragments(df, key, _all_fragments(_lengths(listed)), listed, flag)
+    listed = _whole(_as_frame(df, entries))
+    return _flag_by_grams(df, key, listed, flag, lambda text, entry: F.contains(text, entry["entry"]))
 
 
 def flag_wildcard(df: DataFrame, key: Column, entries: Entries, flag: str) -> DataFrame:
     """``flag`` is true where an entry, ``*`` standing for any text, is found in ``key``.
 
-    Case is ignored, of any script.  For long lists the longest literal piece of an entry
-    selects the keys it could match, then its pattern decides, as for short lists.
+    Case is ignored, of any script: key and entry are compared character by character in the form
+    that ``folded`` gives, whatever the length of the list.
     """
     if _is_literal(entries):
-        found = "|".join(".*".join(map(literal, e.split("*"))) for e in entries)
-        return _with_test(df, flag, key, entries and f"{_WILDCARD_MODE}{found}")
-    pieces = F.transform(
-        F.split(_folded(F.col("entry")), r"\*"), lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))
-    )
-    listed = _as_frame(df, entries).select(
-        F.array_max(pieces)["p"].alias("entry"), wildcard_pattern(F.col("entry")).alias("_pattern")
-    )
-    return _flag_by_fragments(
-        df, key, _all_fragments(_lengths(listed)), listed, flag, pattern="_pattern"
+        pieces = [[_folded_literal(p) for p in e.split("*")] for e in entries]
+        pattern = F.concat(F.lit("(?d)"), *_between([_between(e, ".*") for e in pieces], "|"))
+        found = F.coalesce(F.rlike(folded(key), pattern), F.lit(False)) if pieces else F.lit(False)
+        return df.withColumn(flag, found)
+    entry = folded(F.col("entry"))
+    listed = _as_frame(df, entries).select(entry.alias("entry")).distinct()
+    listed = listed.select("entry", F.split("entry", r"\*").alias("pieces"))
+    return _flag_by_grams(df, key, listed, flag, _holds_in_turn, folded)
+
+
+def _folded_literal(piece: str) -> list[Column]:
+    return [F.lit(literal(piece.lower()))] if piece.isascii() else [F.lit("\\Q"), folded(F.lit(piece)), F.lit("\\E")]
+
+
+def _between(parts: list[list[Column]], separator: str) -> list[Column]:
+    out = list(parts[0]) if parts else []
+    for part in parts[1:]:
+        out += [F.lit(separator), *part]
+    return out
+
+
+def _holds_in_turn(text: Column, entry: Column) -> Column:
+    """Whether the entry's pieces follow each other in ``text``, as its pattern asks for."""
+    after = F.aggregate(
+        entry["pieces"], F.lit(1),
+        lambda at, piece: F.when(at == 0, at).otherwise(
+            _place_after(F.call_function("locate", piece, text, at), piece, text, at)
+        ),
     )
+    # "." of a pattern stops at line feeds
+    line_feed = F.contains(text, F.lit("\n"))
+    return F.when(line_feed, F.rlike(text, wildcard_pattern(entry["entry"]))).otherwise(after > 0)
+
+
+def _place_after(found: Column, piece: Column, text: Column, at: Column) -> Column:
+    return F.when(piece == "", at).when(found == 0, found).otherwise(found + F.length(piece))
 
 
 def wildcard_pattern(entry: Column) -> Column:
@@ -122,66 +151,103 @@ def wildcard_pattern(entry: Column) -> Column:
     return F.concat(F.lit(_WILDCARD_MODE), F.replace(quoted, F.lit("*"), F.lit(".*")))
 
 
-def _folded(value: Column) -> Column:
-    """One form of all spellings that a pattern of any case takes for the same."""
-    # one right on top of the other, Spark would take the inner one for superfluous
-    return F.lower(F.concat(F.upper(value), F.lit("")))
-
+def folded(value: Column) -> Column:
+    """One form of all spellings that a pattern of any case takes for the same, character by character.
 
-def _lengths(listed: DataFrame) -> list[int]:
-    """The lengths entries have: a few dozen numbers, however long the list is."""
-    return sorted(r.n for r in listed.select(F.length("entry").alias("n")).distinct().collect())
+    A character stays one: those whose other case is several characters keep their own, or
+    that of the other direction."""
+    each = F.array_join(F.transform(F.split(value, ""), _folded_character), "")
+    return F.when(F.octet_length(value) == F.length(value), F.lower(value)).otherwise(each)
 
 
-def _per_length(keys: DataFrame, lengths: list[int]) -> DataFrame:
-    """Each key once per length not above its own, as ``_n``."""
-    given = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
-    usable = F.filter(given, lambda n: n <= F.length("_key"))
-    return keys.select("_id", "_key", F.explode(usable).alias("_n"))
+def _folded_character(c: Column) -> Column:
+    # one right on top of the other, Spark would take the inner one for superfluous
+    both, low = F.lower(F.concat(F.upper(c), F.lit(""))), F.lower(c)
+    return F.when(F.length(both) == 1, both).when(F.length(low) == 1, low).otherwise(F.substring(low, 1, 1))
 
 
-def _right(key: str, n: str) -> Column:
-    return F.right(F.col(key), F.col(n))
+def _whole(listed: DataFrame) -> DataFrame:
+    return listed.select("entry", F.array("entry").alias("pieces"))
 
 
 def _explode(keys: DataFrame, fragments: Column) -> DataFrame:
     return keys.select("_id", F.explode(F.array_distinct(fragments)).alias("_fragment"))
 
 
-def _all_fragments(lengths: list[int]) -> Callable[[DataFrame], DataFrame]:
-    """All fragments of the given lengths, by one linear pass over the key per length."""
-    every = F.concat(F.lit(r"(?s)(?![\x{dc00}-\x{dfff}])(?=(.{"), F.col("_n"), F.lit("}))"))
-    found = F.regexp_extract_all("_key", every, F.lit(1))
-    return lambda keys: _explode(_per_length(keys, lengths), found)
+def _grams(text: Column, size: int) -> Column:
+    """All fragments of ``size`` characters, by one linear pass."""
+    every = rf"(?s)(?![\x{{dc00}}-\x{{dfff}}])(?=(.{{{size}}}))"
+    return F.regexp_extract_all(text, F.lit(every), F.lit(1))
 
 
-def _flag_by_fragments(
+def _grams_of_all(pieces: Column, size: int) -> Column:
+    return F.flatten(F.transform(pieces, lambda piece: _grams(piece, size)))
+
+
+def _index(listed: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Grams of the keys ``[_id, _fragment]`` and the entries ``[_fragment, _part, _entries]`` filed under them.
+
+    An entry's grams are as long as its longest piece allows, GRAM at most."""
+    longest = F.array_max(F.transform("pieces", F.length))
+    sized = listed.withColumn("_size", F.least(F.lit(GRAM), longest))
+    pieces = F.col("pieces")
+    cut = F.when(F.col("_size") == GRAM, _grams_of_all(pieces, GRAM))
+    found = _grams(F.col("_key"), GRAM)
+    none = F.array().cast("array<string>")
+    for size in range(1, GRAM):
+        cut = cut.when(F.col("_size") == size, _grams_of_all(pieces, size))
+        asked = sized.agg(F.coalesce(F.bool_or(F.col("_size") == size), F.lit(False))).scalar()
+        found = F.concat(found, F.when(asked, _grams(F.col("_key"), size)).otherwise(none))
+    filed = sized.filter(F.col("_size") > 0).select("entry", "pieces", F.explode(F.array_distinct(cut)).alias("_fragment"))
+    grams = _explode(keys, found)
+    counts = grams.join(filed.select("_fragment").distinct(), "_fragment", "left_semi").groupBy("_fragment").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_fragment")).alias("_at")
+    filed = filed.join(counts, "_fragment", "left").groupBy("entry", "pieces").agg(rarest)
+    filed = filed.filter(F.col("_at._n") > 0).select("entry", "pieces", "_at._fragment")
+    slots = filed.groupBy("_fragment").agg(F.ceil(F.count(F.lit(1)) / PART).alias("_slots"))
+    parted = filed.join(slots, "_fragment").withColumn("_part", F.pmod(F.xxhash64("entry"), F.col("_slots")))
+    return grams, parted.groupBy("_fragment", "_part").agg(F.collect_list(F.struct("entry", "pieces")).alias("_entries"))
+
+
+def _named_keys(df: DataFrame, key: Column) -> DataFrame:
+    """Distinct ``[_key, _id]``; fragments carry ``_id``, so that a very long key is not repeated."""
+    whole = F.col("_key")
+    digest = F.concat(F.lit("\x00"), F.sha2(whole, 256))
+    keys = df.select(key.alias("_key")).filter(whole.isNotNull()).distinct()
+    return keys.withColumn("_id", F.when(F.length(whole) <= 64, whole).otherwise(digest))
+
+
+def _flag_by_grams(
     df: DataFrame,
     key: Column,
-    cut: Callable[[DataFrame], DataFrame],
     listed: DataFrame,
     flag: str,
-    pattern: str | None = None,
+    test: Callable[[Column, Column], Column],
+    fold: Callable[[Column], Column] = lambda key: key,
 ) -> DataFrame:
-    """Flag keys with a fragment in the list whose ``pattern``, if any, is found in the key.
+    """Flag keys that pass ``test`` with an entry of ``listed``, ``[entry, pieces]``, all of whose pieces they have to hold."""
+    df = settle(df)  # read twice: for its keys and for the join back
+    keys = _named_keys(df, fold(key))
+    grams, index = _index(listed, keys)
+    met = grams.join(index, "_fragment").select("_id", "_entries")
+    passed = F.exists("_entries", lambda entry: test(F.col("_key"), entry))
+    hits = keys.join(met, "_id").filter(passed).select("_key").distinct()
+    # an entry without any character holds for every key
+    every = listed.agg(F.coalesce(F.bool_or(F.array_join("pieces", "") == ""), F.lit(False))).scalar()
+    hits = hits.select(F.col("_key").alias("_entry"), F.lit(True).alias("_hit"))
+    flagged = _join_back(df, fold(key), hits, flag)
+    return flagged.withColumn(flag, F.col(flag) | (every & key.isNotNull()))
 
-    Fragments carry a short name of their key, so that a very long key is not repeated.
-    """
+
+def _flag_by_fragments(
+    df: DataFrame, key: Column, cut: Callable[[DataFrame], DataFrame], listed: DataFrame, flag: str
+) -> DataFrame:
+    """Flag keys with a fragment in the list."""
     df = settle(df)  # read twice: for its keys and for the join back
-    whole = F.col("_key")
-    digest = F.concat(F.lit("\x00"), F.sha2(whole, 256))
-    keys = (
-        df.select(key.alias("_key")).filter(whole.isNotNull()).distinct()
-        .withColumn("_id", F.when(F.length(whole) <= 64, whole).otherwise(digest))
-    )
-    listed_fragment = F.col("_fragment") == F.col("entry")
-    if pattern is None:
-        found = cut(keys).join(listed, listed_fragment, "left_semi").select("_id").distinct()
-        hits = keys.join(found, "_id", "left_semi")
-    else:
-        pairs = cut(keys.withColumn("_key", _folded(whole))).join(listed, listed_fragment).select("_id", pattern).distinct()
-        hits = keys.join(pairs, "_id").filter(F.rlike(whole, F.col(pattern))).select("_key").distinct()
-    return _join_back(df, key, hits.select(whole.alias("_entry"), F.lit(True).alias("_hit")), flag)
+    keys = _named_keys(df, key)
+    found = cut(keys).join(listed, F.col("_fragment") == F.col("entry"), "left_semi").select("_id").distinct()
+    hits = keys.join(found, "_id", "left_semi")
+    return _join_back(df, key, hits.select(F.col("_key").alias("_entry"), F.lit(True).alias("_hit")), flag)
 
 
 def _join_back(df: DataFrame, key: Column, hits: DataFrame, flag: str) -> DataFrame:

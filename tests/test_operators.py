@@ -75,6 +75,40 @@ def test_matching_equals_brute_force(spark, monkeypatch, flag, rule, entries, fo
     assert {r.i: r.hit for r in found} == expected and len(found) == len(keys)
 
 
+@pytest.mark.parametrize("entry", ["istan*", "İSTAN", "straße", "STRASSE*x", "ſpam*", "Ka*ı", "σ*σ", "ǆ", "ﬁ*", "b*\u0345"])
+def test_wildcards_do_not_depend_on_the_length_of_the_list(spark, entry):
+    """Letters whose cases differ in length, in short lists and long ones."""
+    keys = ["İstan-x.com", "istan", "ıstan", "STRAẞE", "strasse-x", "Straße.de", "SPAM", "ſpam", "\u212aai", "kaI", "ΣΑΣ", "ςας", "ǅ", "Ǆ", "ﬁ", "FI", "b\nx\u0399", "B-ι", None, ""]
+    df = spark.createDataFrame([(k,) for k in keys], "host string")
+    more = [f"none{i}*never" for i in range(matching.LITERAL_LIMIT + 1)]
+    got = [{r.host: r.hit for r in matching.flag_wildcard(df, F.col("host"), entries, "hit").collect()} for entries in ([entry], [entry, *more])]
+    assert got[0] == got[1] and any(got[0].values())
+
+
+@pytest.mark.parametrize("flag", [matching.flag_substring, matching.flag_wildcard, matching.flag_suffix])
+def test_long_lists_by_rarest_gram(spark, flag):
+    """Entries of many lengths that share endings, against a plain loop."""
+    pick = random.Random(3)
+    word = lambda n: "".join(pick.choices("abcde", k=n))
+    keys = [f"{word(pick.randint(1, 12))}.{word(2)}.com" for _ in range(400)] + ["", "a", "x" * 70 + ".com", "é😀.com", None]
+    ends = [".com", "", "é", "😀.com", ".a"] + ([f"*{word(2)}", f"*.{word(1)}*"] if flag is matching.flag_wildcard else [])
+    entries = sorted({word(pick.randint(1, 9)) + pick.choice(ends) for _ in range(250)})
+    df = spark.createDataFrame([(k,) for k in keys], "host string")
+    rule = {matching.flag_substring: rule_substring, matching.flag_wildcard: rule_wildcard, matching.flag_suffix: rule_suffix}[flag]
+    frame = spark.createDataFrame([(e,) for e in entries], "entry string")
+    for given in (entries[:5], entries, frame):
+        listed = entries[:5] if given == entries[:5] else entries
+        got = {r.host: r.hit for r in flag(df, F.col("host"), given, "hit").collect()}
+        assert got == {k: k is not None and rule(k, listed) for k in keys}
+
+
+def test_long_lists_cut_a_key_once_for_each_position(spark):
+    keys = spark.createDataFrame([("abcdefgh",)], "_key string").withColumn("_id", F.col("_key"))
+    listed = spark.createDataFrame([("cd" * n,) for n in range(2, 40)], "entry string")
+    grams, _ = matching._index(matching._whole(listed), keys)
+    assert grams.count() == 6
+
+
 @pytest.mark.parametrize("flag", [c[0] for c in CASES[:5]])
 def test_empty_lists_match_nothing(spark, flag):
     df = spark.createDataFrame([("a",), ("",)], "host string")
