@@ -4,7 +4,7 @@ Windows of WINDOW bytes are told apart in two steps. First, every window is assi
 anchor: the place in it whose GRAM-byte string has the smallest hash, the leftmost on a tie.
 Equal windows have equal anchors, so they can only be found under the same anchor hash. The
 windows of one anchor make one stretch of text, a mini. Only hashes of anchors and minis, a row
-for about 43 bytes of text, are shuffled; whole minis that occurred before are repeats.
+for about 35 bytes of text, are shuffled; whole minis that occurred before are repeats.
 
 Second, minis of one anchor that differ can still share windows. These alone are gathered as
 text, distinct, and in tasks that own anchor hashes joined to a text whose Burrows-Wheeler
@@ -29,14 +29,15 @@ from pyspark.sql import functions as F
 
 from contactmine.llm.common import bitmap_of, in_bitmap, ranked, saved, texts
 
-WINDOW, GRAM = 100, 16
+WINDOW, GRAM = 100, 32
 PLACES = WINDOW - GRAM + 1
 CROWDED = 2000
 BLOCK, CHUNK = 1 << 18, 1 << 22
 FILTER_BITS = 24
 MIXED = np.uint64(0x9E3779B97F4A7C15)
-ANCHOR = "h bigint, g bigint, doc bigint, first int, last int"
+ANCHOR = "h bigint, g bigint, doc bigint, first int, more int"
 SPAN = "doc bigint, a int, b int"
+DELTAS = {"parquet.writer.version": "v2"}  # places that rise along a text take a byte or two
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -97,8 +98,8 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = frame["row"].to_numpy()
         yield pa.RecordBatch.from_arrays([
             pa.array(frame["h"]), pa.array(frame["g"].to_numpy(), mask=again), pa.array(ids[row]),
-            pa.array((first - starts[row]).astype(np.int32)), pa.array((last - starts[row]).astype(np.int32)),
-        ], ["h", "g", "doc", "first", "last"])
+            pa.array((first - starts[row]).astype(np.int32)), pa.array((last - first).astype(np.int32)),
+        ], ["h", "g", "doc", "first", "more"])
 
 
 def _texts_of(bits: bytes):
@@ -123,10 +124,15 @@ def shared_windows(data: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np
 
     ``same`` comes from the Burrows-Wheeler transform alone, by backward extension."""
     n = len(data)
-    rank, reach = np.unique(data, return_inverse=True)[1].astype(np.int64), 1
-    while reach < size:  # orders by the first 128 symbols at least
+    # seven symbols of nine bits make the first key
+    key = np.zeros(n, np.int64)
+    for i in range(7):
+        key <<= 9
+        key[:max(0, n - i)] |= data[i:].astype(np.int64) + 1
+    rank, reach = np.unique(key, return_inverse=True)[1].astype(np.int64), 7
+    while reach < size:  # orders by the first 112 symbols at least
         after = np.zeros(n, np.int64)
-        after[:n - reach] = rank[reach:] + 1
+        after[:max(0, n - reach)] = rank[reach:] + 1
         rank, reach = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64), reach * 2
     suffixes = np.argsort(rank, kind="stable")
     bwt = data[suffixes - 1]
@@ -224,17 +230,18 @@ def _crowded(minis: DataFrame) -> DataFrame:
 def repeated_spans(rows: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """``[doc, a, b]``: byte spans of ``[doc, text]`` covered by windows that start earlier too. Spans may overlap."""
     spark = rows.sparkSession
-    marks = saved(rows.mapInArrow(_hashes, ANCHOR), "anchors")
-    local = marks.where("g IS NULL").select("doc", F.col("first").alias("a"), (F.col("last") + WINDOW).alias("b"))
-    # an anchor of one mini needs no more; lo <> hi tells that minis of one anchor differ
-    seen = marks.where("g IS NOT NULL").groupBy("h").agg(F.count("*").alias("n"), F.min("g").alias("lo"), F.max("g").alias("hi"))
-    seen = saved(seen.where("n > 1"), "seen")
+    marks = saved(rows.mapInArrow(_hashes, ANCHOR), "anchors", **DELTAS)
+    span = (F.col("first").alias("a"), (F.col("first") + F.col("more") + WINDOW).alias("b"))
+    local = marks.where("g IS NULL").select("doc", *span)
+    # an anchor of one mini needs no more
+    seen = marks.where("g IS NOT NULL").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    seen = saved(seen, "seen")
     again = in_bitmap(marks.where("g IS NOT NULL"), "h", bitmap_of(seen, "h", FILTER_BITS), FILTER_BITS)
-    again = saved(again, "again")
-    groups = again.groupBy("h", "g").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")).where("n > 1")
-    whole = again.join(groups.drop("n"), ["h", "g"]).where("doc <> first_doc")
-    whole = whole.select("doc", F.col("first").alias("a"), (F.col("last") + WINDOW).alias("b"))
-    differ = saved(seen.where("lo <> hi").select("h"), "differ")
+    again = saved(again, "again", **DELTAS)
+    groups = saved(again.groupBy("h", "g").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")), "groups")
+    whole = again.join(groups.where("n > 1").drop("n"), ["h", "g"]).where("doc <> first_doc").select("doc", *span)
+    # anchors whose minis differ
+    differ = saved(groups.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "differ")
     bits = bytearray(1 << (FILTER_BITS - 3))
     for part in bitmap_of(differ, "h", FILTER_BITS).collect():  # 2 MB whatever the input
         at = (part.part - 1) * 4096
