@@ -51,6 +51,20 @@ def ranked(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     return found.drop("_row", "_part", "_first", "_before")
 
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``key``, a number of its own for each row, in order of doc_id: doc_id itself where all rows have
+    one that no other has, else the place among all rows, for which the rows are written once more.
+
+    Rows that share a doc_id, or have none, are in order of their texts' hashes; those without come first."""
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
+    if ids.isEmpty():
+        return rows.withColumn(key, F.col("doc_id"))
+    whole = F.struct("*").alias("whole")  # no column of the rows can clash
+    tied = rows.select(whole, "doc_id", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("tie"), F.lit(0).alias("all"))
+    placed = ranked(saved(tied, "tied"), "all", ["doc_id", "hash", "tie"])
+    return saved(placed.select("whole.*", F.col("at").alias(key)), "numbered")
+
+
 def texts(docs: DataFrame, column: str = "text", key: str = "doc_id") -> DataFrame:
     """``[key, text]`` alone, null texts as empty ones; other columns can't clash."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactmine.llm.common import bitmap_of, in_bitmap, ranked, saved, texts
+from contactmine.llm.common import bitmap_of, in_bitmap, numbered, saved, texts
 
 WINDOW, GRAM = 100, 32
 PLACES = WINDOW - GRAM + 1
@@ -277,25 +277,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``doc``, a number of its own for each row, in order of doc_id: doc_id itself where all differ,
-    else the place among all rows, for which the texts are written once more."""
-    ids = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
-    if ids.isEmpty():
-        return rows.withColumn("doc", F.col("doc_id"))
-    order = ["doc_id", "hash", "tie"]
-    tied = rows.withColumns({"hash": F.xxhash64("text"), "tie": F.monotonically_increasing_id(), "all": F.lit(0)})
-    placed = ranked(saved(tied, "tied"), "all", order)
-    return saved(placed.select("doc_id", "text", F.col("at").alias("doc")), "numbered")
-
-
 def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """``[doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept]`` of every row; ``kept`` has the bytes left.
 
     Null and empty texts have no bytes. Rows without doc_id come before all others. Rows that
     share a doc_id, or have none, are documents each, in order of their texts' hashes: of rows that repeat one
     keeps its bytes. An empty table gives an empty result; other columns are ignored."""
-    rows = _numbered(texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint")))
+    rows = numbered(texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint")), "doc")
     spans = saved(repeated_spans(rows.select("doc", "text"), crowded), "spans")
     spans = saved(spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "doc_spans")
     # documents without a span never leave their scan

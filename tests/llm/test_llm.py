@@ -479,3 +479,23 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == set(rows)
     assert all(r.decoded_sha256 == hashlib.sha256(rows[r.doc_id].encode()).hexdigest() for r in out)
+
+
+def test_pipeline_stages_judge_rows(spark, tmp_path):
+    """Rows without doc_id or with a shared one: copies, near copies and leaks go, clean rows stay, extra columns too."""
+    rng = random.Random(12)
+    text = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60))
+    clean, leak, copied = [text() for _ in range(6)], text(), text()
+    rows = [(1, clean[0]), (1, clean[1]), (None, clean[2]), (None, clean[3]), (2, leak), (2, clean[4]), (None, f"{leak} more"), (None, copied), (None, copied.upper()), (7, copied),
+            (None, "123"), (7, "45"), (9, clean[5]), (9, clean[5])]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t), 1, "k") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, at int, size string")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = frame
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == frame.columns
+        docs = spark.createDataFrame(docs.collect(), frame.schema)
+    left = [(1, clean[0]), (1, clean[1]), (None, clean[2]), (None, clean[3]), (2, clean[4]), (7, copied), (9, clean[5])]
+    assert found(docs, "doc_id", "text") == collections.Counter(left)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, frame.limit(0), str(tmp_path)).count() == 0
