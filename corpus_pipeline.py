@@ -1,7 +1,10 @@
 """Training-data pipeline over ``documents``: five stages, each over all that the one before kept.
 
-doc_id is the key of a document. Rows without one are never dropped by a verdict on another;
-null texts count as empty and have no letter, so the first stage rejects them.
+Every stage judges rows, not ids: where rows share a doc_id or have none, each gets a number of its
+own, in order of doc_id, under which the stage's operator runs and its verdicts are applied. So
+copies and leaks without doc_id leave too, and a clean row never leaves with another of its
+doc_id. Null texts count as empty and have no letter, so the first stage rejects them. Extra
+columns are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,35 +16,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactmine.llm import bpe, decontamination, exact, language, simhash
-from contactmine.llm.common import saved, table
+from contactmine.llm.common import numbered, saved, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    return docs.join(saved(rejected.select("doc_id").distinct(), "rejected"), "doc_id", "left_anti").select(docs.columns)
+KEY = "_pipeline_row"
+SURE = 0.35  # the least score of a language prediction that counts as one
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with KEY, and ``[doc_id, text]`` with KEY as doc_id."""
+    rows = numbered(docs, KEY)
+    return rows, rows.select(F.col(KEY).alias("doc_id"), "text")
+
+
+def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
+    rejected = saved(rejected.select(F.col("doc_id").alias(KEY)).distinct(), "rejected")
+    return rows.join(rejected, KEY, "left_anti").drop(KEY)
 
 
 def with_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that have a letter: what the model takes them for, or that there is none, rejects nothing."""
-    found = language.languages(docs)
-    kept = _without(docs, found.where(F.col("lang_pred") == language.UNKNOWN))
-    return kept.where(F.col("text").rlike(r"\p{L}"))  # those without doc_id too
+    """Documents whose language the model tells: those without a letter go, and those for which no language
+    gets SURE of the probability. If nothing could be learned, only the former go."""
+    rows, texts = _keyed(docs)
+    model = language.train(docs.where(~language.held_out()).select("doc_id", "text", "lang"))
+    unsure = (F.col("score") < SURE) & (F.col("lang_pred") != language.NO_MODEL)
+    return _without(rows, language.identify(texts, model).where(unsure))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id stays."""
-    return _without(docs, exact.exact_duplicates(docs).where("not kept"))
+    rows, texts = _keyed(docs)
+    return _without(rows, exact.exact_duplicates(texts).where("not kept"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Of a group of near copies the document with the smallest doc_id stays."""
-    return _without(docs, simhash.near_duplicates(docs).where("doc_id <> component_id"))
+    rows, texts = _keyed(docs)
+    return _without(rows, simhash.near_duplicates(texts).where("doc_id <> component_id"))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that hold no test item."""
-    return _without(docs, decontamination.contaminated(docs, table(spark, folder, "benchmark")))
+    rows, texts = _keyed(docs)
+    return _without(rows, decontamination.contaminated(texts, table(spark, folder, "benchmark")))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
