@@ -20,6 +20,7 @@ adaptive execution splits a key that holds a large part of the rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,6 +72,23 @@ def flag_equal(df: DataFrame, key: Column, entries: Entries, flag: str) -> DataF
     return _join_back(df, key, listed, flag)
 
 
+def flag_equal_each(df: DataFrame, lists: Sequence[tuple[str, Column, Entries]]) -> DataFrame:
+    """``flag_equal`` for several ``(flag, key, entries)`` of which a row has a key for one at most.
+
+    The long lists are one table of lists and entries, so that a row is looked up once."""
+    long = [(flag, key, entries) for flag, key, entries in lists if not _is_literal(entries)]
+    for flag, key, entries in lists:
+        if _is_literal(entries):
+            df = flag_equal(df, key, entries, flag)
+    if not long:
+        return df
+    named = lambda flag, key: F.concat(F.lit(f"{flag}:"), key)  # noqa: E731  null where the key is
+    lookup = F.coalesce(*(named(flag, key) for flag, key, _ in long))
+    tables = [_as_frame(df, entries).select(named(flag, F.col("entry")).alias("entry")) for flag, _, entries in long]
+    flagged = flag_equal(df, lookup, reduce(DataFrame.unionByName, tables), "_listed")
+    return flagged.withColumns({flag: F.col("_listed") & key.isNotNull() for flag, key, _ in long}).drop("_listed")
+
+
 def flag_suffix(
     df: DataFrame, key: Column, entries: Entries, flag: str, dot_boundary: bool = False
 ) -> DataFrame:

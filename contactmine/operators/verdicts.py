@@ -21,6 +21,7 @@ from contactmine.operators.lists import substring_entries, unsearchable_entries
 from contactmine.operators.matching import (
     Entries,
     flag_equal,
+    flag_equal_each,
     flag_substring,
     flag_suffix,
     flag_wildcard,
@@ -126,10 +127,12 @@ def advanced_verdicts(
     value = F.col("value")
     address, link = F.col("kind") == EMAIL, F.col("kind") == URL
     key = _part_key(value, legacy_www)
-    flagged = flag_equal(values, F.when(address, _disposable_key(value)), disposable, "_disposable")
-    flagged = flag_substring(flagged, F.when(link, key), substring_entries(blocked), "_part")
     exact = blocked if legacy_www else unsearchable_entries(blocked)
-    flagged = flag_equal(flagged, F.when(link, U.link_host(value)), exact, "_exact")
+    flagged = flag_equal_each(values, [
+        ("_disposable", F.when(address, _disposable_key(value)), disposable),
+        ("_exact", F.when(link, U.link_host(value)), exact),
+    ])
+    flagged = flag_substring(flagged, F.when(link, key), substring_entries(blocked), "_part")
     reason = F.when(
         address, _filtered_reason(value, F.col("_disposable"), words, require_at)
     ).otherwise(_link_reason(value, F.col("_part"), F.col("_exact"), legacy_www))

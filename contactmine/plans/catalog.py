@@ -620,6 +620,12 @@ def contacts_advanced(spark, sf):
     return variants.advanced(D.corpus(spark, sf), D.DISPOSABLE, D.BLOCKED)
 
 
+@query
+def contacts_advanced_join(spark, sf):
+    """The same with lists that are tables, and the reasons of all candidates."""
+    return variants.advanced_candidates(D.corpus(spark, sf), D.segment_domains(spark, sf), D.page_blocklist(spark, sf))
+
+
 @query
 def contacts_advanced_summary(spark, sf):
     return S.count_by_reason(_verdicts(spark, sf))

@@ -403,6 +403,14 @@ loose AS ({loose['loose']}) SELECT DISTINCT value FROM loose""",
     "contacts_simple": _with(f"SELECT kind, value FROM v WHERE {SIMPLE_REASON} = 'kept'", **cleaned),
     "contacts_filtered": _with(f"SELECT kind, value FROM v WHERE {EMAIL_REASON} = 'kept'", **cleaned),
     "contacts_advanced": _with(f"SELECT kind, value FROM v WHERE {REASON} = 'kept'", **both),
+    "contacts_advanced_join": _with(
+        f"""SELECT kind, value, CASE
+ WHEN kind = 'email' THEN CASE {STRICT_REASON} WHEN {FORBIDDEN} THEN 'forbidden'
+  WHEN {BARE} IN (SELECT entry FROM disposable) THEN 'disposable' ELSE 'kept' END
+ WHEN NOT {VALID} OR {WWW} = '' THEN 'invalid'
+ WHEN {_exists(f'contains({WWW}, entry)')} THEN 'blocked_part' ELSE 'kept' END AS reason FROM v""",
+        **both, disposable=SEGMENT_DOMAINS, raw_entries=PAGE_BLOCKLIST, entries=PAGE_PARTS,
+    ),
     "contacts_advanced_summary": _with(
         f"SELECT kind, {REASON} AS reason, count(*) AS n_values FROM v GROUP BY ALL", **both
     ),
