@@ -22,6 +22,7 @@ from contactmine.fixed_values import (
     LOOKALIKE_EXTENSIONS,
     PUNCTUATION,
 )
+from contactmine.functions.idna import to_ascii
 from contactmine.functions.text import any_of
 
 # Classes list their characters: the regex engine tests those by one table lookup.
@@ -97,17 +98,17 @@ def has_non_ascii(text: Column) -> Column:
 
 
 def to_ascii_host(host: Column) -> Column:
-    """Internationalised host in its ASCII form; unchanged where that fails."""
+    """Internationalised host in the ASCII form of IDNA 2003, as links have it; unchanged where that fails."""
     ascii_form = F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host)
     return F.when(has_non_ascii(host), F.coalesce(ascii_form, host)).otherwise(host)
 
 
 def idna_email(value: Column) -> Column:
-    """Address with its host (after the last ``@``) in ASCII form."""
+    """Address with its host (after the last ``@``) in the ASCII form of IDNA 2008; unchanged where it has none."""
     host = F.substring_index(value, "@", -1)
     local = F.substr(value, F.lit(1), F.length(value) - F.length(host))
     return F.when(
-        has_non_ascii(value) & F.contains(value, F.lit("@")), F.concat(local, to_ascii_host(host))
+        has_non_ascii(host) & F.contains(value, F.lit("@")), F.coalesce(F.concat(local, to_ascii(host)), value)
     ).otherwise(value)
 
 

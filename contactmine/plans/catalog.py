@@ -197,7 +197,12 @@ def email_parts(spark, sf):
 
 @query
 def email_idna(spark, sf):
+    """Addresses as they are, and under labels of other scripts."""
     values = _values(spark, sf, extract.LOOSE_EMAILS)
+    host = F.substring_index("value", "@", -1)
+    local = F.substr("value", F.lit(1), F.length("value") - F.length(host))
+    labels = F.explode(F.array(F.lit(""), *map(F.lit, D.LABELS))).alias("label")
+    values = values.select(local.alias("local"), host.alias("host"), labels).select(F.concat("local", "label", "host").alias("value"))
     return values.select("value", E.idna_email(value()).alias("idna"))
 
 

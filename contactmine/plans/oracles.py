@@ -133,6 +133,8 @@ LINK_REASON = (
 )
 REASON = f"CASE WHEN kind = 'email' THEN {EMAIL_REASON} ELSE {LINK_REASON} END"
 
+ASCII_LABEL = "[A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?"
+
 # --- common tables -------------------------------------------------------------------------------
 
 strict = {"strict": hits(STRICT, "email")}
@@ -237,7 +239,15 @@ ORACLES: dict[str, str] = {
         f"SELECT DISTINCT value, {LOCAL} AS local, {DOMAIN} AS domain, {BARE} AS bare_domain FROM loose",
         **loose,
     ),
-    "email_idna": _with("SELECT DISTINCT value, value AS idna FROM loose", **loose),
+    "email_idna": _with(
+        f"""SELECT head || label || host AS value,
+ CASE WHEN label = '' OR coded IS NOT NULL AND regexp_full_match(host, '({ASCII_LABEL}[.])*{ASCII_LABEL}[.]?')
+  AND NOT regexp_matches(host, '(^|[.])..--') AND length(coded || host) <= 253 THEN head || coded || host
+  ELSE head || label || host END AS idna
+ FROM (SELECT DISTINCT regexp_extract(value, '^(.*@)[^@]*$', 1, 's') AS head, regexp_extract(value, '([^@]*)$', 1) AS host FROM loose),
+ (VALUES ('', ''), {", ".join(f"({q(k)}, {q(v) if v else 'NULL'})" for k, v in D.LABELS.items())}) AS l (label, coded)""",
+        **loose,
+    ),
     "url_netloc": _with(f"SELECT value, {NETLOC} AS netloc FROM v", **link_values),
     "url_host_slash": _with(f"SELECT value, {HOST_SLASH} AS host FROM v", **overlapping_values),
     "url_strip_www": _with(

@@ -149,3 +149,15 @@ def raw_list_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(r,) for r in DEFAULT_RULES], "rule string")
+
+# Host labels and what they are in ASCII; the last two have no such form.
+LABELS = {
+    "bücher.": "xn--bcher-kva.",
+    "straße.": "xn--strae-oqa.",
+    "βόλος.": "xn--nxasmm1c.",
+    "例え.": "xn--r8jz45g.",
+    "مثال.": "xn--mgbh0fb.",
+    "हिन्दी.": "xn--j2bd4cyah0f.",
+    "Bücher.": None,
+    "ﬁx.": None,
+}

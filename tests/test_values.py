@@ -1,6 +1,7 @@
 """Functions on addresses, links, paths and list entries."""
 
 import os
+import random
 import string
 from urllib.parse import urlparse
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from contactmine.functions import emails as E
 from contactmine.functions import text as T
 from contactmine.functions import urls as U
+from contactmine.functions.idna import to_ascii
 
 
 @pytest.fixture
@@ -104,3 +106,31 @@ def test_texts(apply, spark):
 def test_replacement_characters_of_the_text_stay(spark):
     raw = spark.createDataFrame([(bytearray("ab\ufffdcd@x.com".encode() + b"\xff!"),)], "c binary")
     assert raw.select(T.decode_ignoring_errors(F.col("c")).alias("t")).first().t == "ab\ufffdcd@x.com!"
+
+
+def test_idna_equals_the_rules_of_2008(spark):
+    """Against a library that follows the same rules, on labels of many scripts, allowed and not."""
+    library = pytest.importorskip("idna")
+    pick = random.Random(1)
+    pools = [
+        "abcxyz0189-", "äöüßéèñçø", "αβγδςσόϊ", "абвгдежя", "אבגדהוז", "ابتثجحخ", "٠١٢٣", "۰۱۲", "漢字仮名", "ひらがなカタカナ・",
+        "हिन्दीक्षत्", "한국어", "ÄÉ", "l·", "e\u0301", "\u200c\u200d", "_ !",
+    ]
+    hosts = [
+        "straße.de", "βόλος.gr", "Bücher.de", "bücher.DE", "a_b.é.com", "é..com", "é.com.", "é。com", "xn--bcher-kva.é", "-é.com", "é-.com",
+        "ab--é.com", "é" * 60 + ".com", "مثال.إختبار", "l·l.cat", "l·.cat", "क्\u200dष.in", "カ・タ.jp", "a・b.jp", "e\u0301.com", "אa.com", "ﬁ.com", "é",
+    ]
+    for _ in range(2000):
+        scripts = pick.sample(pools, pick.choice([1, 1, 2]))
+        labels = ["".join(pick.choice(pick.choice(scripts)) for _ in range(pick.randint(1, 9))) for _ in range(pick.choice([1, 1, 2]))]
+        hosts.append(".".join(labels) + pick.choice([".com", ""]))
+    hosts = sorted({h for h in hosts if not h.isascii()})
+
+    def expected(host):
+        try:
+            return library.encode(host).decode()
+        except Exception:
+            return None
+
+    frame = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", to_ascii(F.col("host")).alias("coded"))
+    assert {r.host: r.coded for r in frame.collect()} == {h: expected(h) for h in hosts}
