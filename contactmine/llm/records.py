@@ -67,7 +67,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.endings = Tokenizer.from_file(path), {}, {}
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
 
     @classmethod
@@ -92,11 +92,13 @@ class Encoder:
     def _ends_in_letter(self, stem: str) -> bool:
         """Whether what follows the stem is cut off from it: a mark that normalising leaves at its end (as of ``İ``)
         would join punctuation."""
-        if not stem.isalnum():
-            return False
-        if not stem.isascii() and self.tokenizer.normalizer:
-            stem = self.tokenizer.normalizer.normalize_str(stem)
-        return stem[-1:].isalnum()
+        if stem.isascii() or not stem.isalnum():
+            return stem.isalnum()
+        last, found = stem[-1], self.endings.get(stem[-1])
+        if found is None:
+            normal = self.tokenizer.normalizer.normalize_str(last) if self.tokenizer.normalizer else last
+            found = self.endings[last] = normal[-1:].isalnum()
+        return found
 
     def _keep(self, new: dict[bytes, bytes]) -> None:
         if len(self.known) < CACHED:
