@@ -28,7 +28,7 @@ def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return _located(reader.load(root), "path").select(
+    return located(reader.load(root), "path").select(
         "path", "modificationTime", "length", "content", "ext"
     )
 
@@ -37,7 +37,7 @@ def stream_files(spark: SparkSession, root: str, per_batch: int) -> DataFrame:
     """``scan_files`` as a stream: each file once over the life of a checkpoint, at most ``per_batch`` in a micro-batch."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     reader = _stream_reader(spark, per_batch).format("binaryFile").schema(schema)
-    return _located(reader.load(root), "path").select("path", "modificationTime", "length", "content", "ext")
+    return located(reader.load(root), "path").select("path", "modificationTime", "length", "content", "ext")
 
 
 def _stream_reader(spark: SparkSession, per_batch: int) -> DataStreamReader:
@@ -46,7 +46,7 @@ def _stream_reader(spark: SparkSession, per_batch: int) -> DataStreamReader:
     return spark.readStream.options(**options)
 
 
-def _located(files: DataFrame, name: str) -> DataFrame:
+def located(files: DataFrame, name: str) -> DataFrame:
     """Add the file's URI as ``name`` and its extension as ``ext``; skip work folders."""
     path = F.col("_metadata.file_path")
     return files.filter(~F.contains(path, F.lit(_WORK_FOLDER))).withColumns(
@@ -118,7 +118,7 @@ def stream_text_lines(
 def _lines(reader: DataFrameReader | DataStreamReader, root: str, encoding: str, choose: Callable | None) -> DataFrame:
     if encoding.upper() != "UTF-8":
         reader = reader.option("encoding", encoding)
-    lines = _located(reader.text(root), "source_id").withColumn("block", F.col("_metadata.file_block_start"))
+    lines = located(reader.text(root), "source_id").withColumn("block", F.col("_metadata.file_block_start"))
     if choose is not None:
         lines = choose(lines)
     return lines.select("source_id", "block", decode_ignoring_errors(F.col("value")).alias("text"), "ext")
@@ -127,7 +127,7 @@ def _lines(reader: DataFrameReader | DataStreamReader, root: str, encoding: str,
 def read_whole_texts(spark: SparkSession, root: str) -> DataFrame:
     """``[source_id, text, ext]``, one row per file, for patterns that span lines."""
     files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
-    return _located(files, "source_id").select(
+    return located(files, "source_id").select(
         "source_id", decode_ignoring_errors(F.col("value")).alias("text"), "ext"
     )
 
@@ -138,31 +138,3 @@ def corpus_from_column(df: DataFrame, key: str, column: str, prefix: str) -> Dat
         F.concat(F.lit(prefix), F.col(key).cast("string")).alias("source_id"),
         F.col(column).alias("text"),
     )
-
-
-def csv_cells(spark: SparkSession, root: str, multi_line: bool = False) -> DataFrame:
-    """``[source_id, column, text]`` of all cells of CSV files, header cells included.
-
-    Rows may differ in width: a row of other than one cell comes as Spark's record of what
-    does not fit the schema, and is split here.  Cells stay raw strings, empty ones are left
-    out.  ``multi_line`` is needed where quoted cells hold line ends; it reads each file in
-    one task.
-    """
-    rows = (
-        spark.read.schema("_single string, _record string")
-        .option("columnNameOfCorruptRecord", "_record")
-        .option("recursiveFileLookup", True)
-        .option("multiLine", multi_line)
-        .option("header", False)
-        .option("escape", '"')
-        .csv(root)
-        .select(F.col("_metadata.file_path").alias("source_id"), "_single", "_record")
-    )
-    record = F.concat(F.lit(","), "_record")  # so that each cell follows a comma
-    raw = F.regexp_extract_all(record, F.lit(r',("[^"]*+(?:""[^"]*+)*+"|[^,]*)'), F.lit(1))
-    quoted = lambda cell: F.replace(F.regexp_extract(cell, r'(?s)^"(.*)"\s*$', 1), F.lit('""'), F.lit('"'))
-    cells = F.transform(raw, lambda cell: F.when(cell.startswith('"'), quoted(cell)).otherwise(F.rtrim(cell)))
-    every = F.coalesce(cells, F.array("_single"))
-    return rows.select("source_id", F.posexplode(every).alias("_at", "text")).select(
-        "source_id", F.concat(F.lit("c"), F.col("_at").cast("string")).alias("column"), "text"
-    ).filter(F.col("text") != "")

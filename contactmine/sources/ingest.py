@@ -21,6 +21,7 @@ from contactmine.sources.binary import (
     read_office,
 )
 from contactmine.sources.files import include_exclude, read_text_lines, scan_files
+from contactmine.sources.tables import csv_cells
 
 DEFAULT_READERS: dict[str, FileReader] = {
     ".eml": read_message, **dict.fromkeys(OFFICE_EXTENSIONS, read_office)
@@ -49,11 +50,11 @@ def ingest(
     paths: Sequence[str] | None = None,
     keep_in: str | None = None,
 ) -> DataFrame:
-    """Text files line by line, messages, office files and archives whole.
+    """Text files line by line, CSV files cell by cell, messages, office files and archives whole.
 
     ``readers`` adds ``bytes → str`` readers by extension or replaces the built-in ones.
     A known binary extension without a reader gives a row with ``error``; any other
-    unknown extension is read as text.  The three branches read disjoint sets of files:
+    unknown extension is read as text.  The branches read disjoint sets of files:
     their extension tests prune the listing, before any file is opened, as does ``paths``,
     the files to read.  Lines have a ``place`` in their file.  Binary files above what a row
     holds give a row with ``error``.  With ``keep_in`` the texts of binary files are written
@@ -83,8 +84,13 @@ def ingest(
     )
     lines = read_text_lines(
         spark, root, encoding,
-        lambda listed: wanted(listed, "source_id").filter(~F.col("ext").isin(opened + closed)),
+        lambda listed: wanted(listed, "source_id").filter(~F.col("ext").isin([*opened, *closed, ".csv"])),
     ).select("source_id", "place", "text", none.alias("error"))
+    if ".csv" not in opened:
+        cells = csv_cells(
+            spark, root, True, lambda listed: wanted(listed, "source_id").filter(F.col("ext") == ".csv")
+        )
+        lines = lines.unionByName(cells.select("source_id", "place", "text", none.alias("error")))
     return lines.unionByName(binary, allowMissingColumns=True).unionByName(unread, allowMissingColumns=True)
 
 

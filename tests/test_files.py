@@ -3,6 +3,7 @@
 import gzip
 import io
 import json
+import random
 import tarfile
 import zipfile
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from contactmine.operators import extract
 from contactmine.plans import variants
 from contactmine.sinks import tables as sinks
-from contactmine.sources import binary, files, ingest
+from contactmine.sources import binary, files, ingest, tables
 from contactmine.sources import lists as list_files
 
 
@@ -135,22 +136,60 @@ def test_lines_and_whole_texts_hold_the_same_contacts(spark, tree):
 
 
 def test_csv_cells(spark, tree):
-    cells = files.csv_cells(spark, str(tree / "t.csv"), multi_line=True)
+    cells = tables.csv_cells(spark, str(tree / "t.csv"), multi_line=True)
     found = extract.extract_contacts(cells, extract.STRICT_EMAILS, keep=("column",))
     assert {(r.column, r.value) for r in found.collect()} == {
         ("c0", "head@csv.com"), ("c0", "joe@csv.com"), ("c1", "b@csv.com")
     }
 
 
+@pytest.fixture
+def small_blocks(spark):
+    sizes = {"spark.sql.files.maxPartitionBytes": "40b", "spark.sql.files.openCostInBytes": "1b"}
+    for name, size in sizes.items():
+        spark.conf.set(name, size)
+    yield
+    for name in sizes:
+        spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_csv_records_over_many_blocks(spark, tmp_path, small_blocks, seed):
+    """Line ends, commas and quotes in quoted cells, quotes inside plain ones: as a reader of whole files finds them."""
+    pick = random.Random(seed)
+    texts = ["a", "", "joe@x.com", "two\nlines", 'say ""hi""', "x,y", "\n\n", '""', "l" * 70, 'in\n""the""\nmiddle', '""\n', "é"]
+    wanted = []
+    for name in ("a", "b"):
+        rows, body = [], ""
+        for _ in range(60):
+            cells = [pick.choice(texts) for _ in range(pick.randint(1, 4))]
+            written = []
+            for i, cell in enumerate(cells):
+                plain = not set(cell) & set('",\n')
+                if plain and pick.random() < 0.3:
+                    cells[i] = cell = cell + ' 5"' if cell else cell  # a quote that starts no cell
+                    written.append(cell)
+                else:
+                    written.append(cell if plain and pick.random() < 0.5 else f'"{cell}"')
+                    cells[i] = cell.replace('""', '"')
+            rows.append(cells)
+            body += ",".join(written) + pick.choice(["\n", "\n", "\r\n"])
+        (tmp_path / f"{name}.csv").write_text(body, newline="")
+        wanted += [(f"{name}.csv", f"c{i}", cell) for cells in rows for i, cell in enumerate(cells) if cell]
+    found = tables.csv_cells(spark, str(tmp_path), multi_line=True)
+    assert tables.csv_lines(spark, str(tmp_path)).rdd.getNumPartitions() > 20
+    assert sorted((r.source_id.rsplit("/", 1)[1], r.column, r.text) for r in found.collect()) == sorted(wanted)
+
+
 def test_csv_keeps_cells_of_rows_of_any_width(spark, tmp_path):
     (tmp_path / "w.csv").write_text('a@x.com,"say ""hi"", b@x.com"\n1,2,lost@x.com\nalone@x.com\n,"two\nlines",,"",z\n')
-    cells = files.csv_cells(spark, str(tmp_path), multi_line=True).collect()
+    cells = tables.csv_cells(spark, str(tmp_path), multi_line=True).collect()
     assert {(r.column, r.text) for r in cells} == {
         ("c0", "a@x.com"), ("c1", 'say "hi", b@x.com'), ("c0", "1"), ("c1", "2"), ("c2", "lost@x.com"),
         ("c0", "alone@x.com"), ("c1", "two\nlines"), ("c4", "z"),
     }
     (tmp_path / "w.csv").write_text("p@x.com,q\n1,2,lost@x.com\n")
-    assert values(files.csv_cells(spark, str(tmp_path)), "text") == ["1", "2", "lost@x.com", "p@x.com", "q"]
+    assert values(tables.csv_cells(spark, str(tmp_path)), "text") == ["1", "2", "lost@x.com", "p@x.com", "q"]
 
 
 def test_first_link_is_the_first_in_the_file(spark, tmp_path):
