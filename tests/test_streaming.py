@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from contactmine.operators import extract
 from contactmine.streaming import contacts as stream
+from contactmine.streaming import totals as live
 from contactmine.streaming.progress import ContactProgress
 
 FIRST = [("s1", "a@x.com a@x.com http://h.com/1"), ("s2", "a@x.com b@x.com")]
@@ -91,3 +92,32 @@ def test_bounded_state(spark, drop, tmp_path):
     found = stream.first_seen(timed, ["kind", "value"], "seen_at", "1 hour")
     run(stream.start(found, str(tmp_path / "ck"), out, available_now=True))
     assert values(spark.read.parquet(out)) == ["a@x.com", "b@x.com", "http://h.com/1"]
+
+
+def test_live_totals_by_reason(spark, tmp_path):
+    """Three batches, copies within and across them, rows that come too late."""
+    folder = tmp_path / "events"
+    folder.mkdir()
+    schema = "kind string, value string, at timestamp"
+    batches = [
+        [("email", "a@x.com", "10:00"), ("email", "a@x.com", "10:01"), ("email", "b@trash.net", "10:02"), ("url", "http://bad.org/1", "10:03")],
+        [("email", "a@x.com", "10:08"), ("email", "c@x.com", "10:12"), ("email", "d@9.com", "10:13"), ("url", "http://good.org/", "10:14"), ("email", "e@x.com", "10:04")],
+        [("email", "late@x.com", "09:00"), ("email", "f.png@x.com", "10:40"), ("email", "g@x.com", "10:41"), ("email", "late2@x.com", "10:02")],
+        [("email", "late3@x.com", "10:05"), ("email", "h@x.com", "10:45")],
+    ]
+    lists = [spark.createDataFrame([(e,)], "entry string") for e in ("trash.net", "bad.org")]
+    seen = {}
+
+    def keep(rows, _):
+        seen.update({(r.window.start.strftime("%H:%M"), r.kind, r.reason): r.n_values for r in rows.collect()})
+
+    for rows in batches:
+        frame = spark.createDataFrame([(k, v, f"2026-01-01 {t}:00") for k, v, t in rows], "kind string, value string, at string")
+        frame.withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(folder))
+        contacts = spark.readStream.schema(schema).parquet(str(folder))
+        totals = live.totals_by_reason(live.snapshot_verdicts(contacts, *lists), "at", "20 minutes", "10 minutes")
+        run(live.start(totals, str(tmp_path / "ck"), keep, available_now=True))
+    assert seen == {
+        ("10:00", "email", "kept"): 3, ("10:00", "email", "disposable"): 1, ("10:00", "url", "blocked_host"): 1,
+        ("10:10", "email", "kept"): 1, ("10:10", "email", "digit"): 1, ("10:10", "url", "kept"): 1, ("10:40", "email", "kept"): 3,
+    }
