@@ -235,7 +235,7 @@ def _mined(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFr
         if shared.isEmpty():
             break
         salt += 1
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = saved(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     words = saved(keyed.where(F.col("n") >= least), "frequent")
     relation = texts.mapInArrow(_occurrences(str(salt), Bitmap(words, ["w"]), longest), _relation_schema(1))
     phrases, relation = {}, saved(relation, "relation1")
@@ -299,7 +299,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     sizes = every.groupBy("lang", "score").agg(F.count("*").alias("size"))
     down = Window.partitionBy("lang").orderBy(F.desc("score"))
     sizes = sizes.withColumn("before", F.sum("size").over(down) - F.col("size"))
-    last = sizes.where(F.col("before") < top).groupBy("lang").agg(F.min("score").alias("last"))
+    last = saved(sizes.where(F.col("before") < top).groupBy("lang").agg(F.min("score").alias("last")), "last")  # their size is known
     best = every.join(last, "lang").where(F.col("score") >= F.col("last")).drop("last")
     for i in range(1, longest + 1):
         best = best.join(words.select(F.col("w").alias(f"w{i}"), F.col("word").alias(f"word{i}")), f"w{i}", "left")
