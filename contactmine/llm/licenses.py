@@ -1,11 +1,12 @@
 """Licence scan by a positional index of rare tokens, in DataFrame functions alone.
 
 Templates are word sequences of licence texts and notices. Their postings give the places of
-its words of highest IDF (counted over all documents): one place more than a text can get
-wrong and still reach SIMILARITY, so every start worth comparing has a hit. In a document that
+its words of highest IDF (counted over all documents): VOTES places more than a text can get
+wrong and still reach SIMILARITY, so at every start worth comparing that many agree. In a document that
 holds a template's mandatory key phrase these words are looked up: each occurrence less each
-posting's place is where the template would start. At each such start the template is compared
-word by word, and its best share counts. Everything is row by row but for the counts.
+posting's place is where the template would start, and the postings are intersected by those
+starts. Where enough of them meet, the template is compared word by word, and its best share
+counts. Everything is row by row but for the counts.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from contactmine.llm.literals import literal
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SIMILARITY = 0.6
+VOTES = 3
 # The phrases that count as places, and the label of each.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 # Label, mandatory key phrase, words of the notice or licence text.
@@ -42,7 +44,7 @@ TEMPLATES = [
     ("cc0", "cc0 1 0", "to the extent possible under law waived all copyright under cc0 1 0 universal"),
 ]
 WORDS = sorted({w for _, _, text in TEMPLATES for w in text.split()})
-TEMPLATE_TYPE = "array<struct<label:string,phrase:string,words:array<string>,places:map<string,array<int>>>>"
+TEMPLATE_TYPE = "array<struct<label:string,phrase:string,words:array<string>,places:map<string,array<int>>,votes:int>>"
 
 
 def _postings(weights: dict[str, float]) -> list[dict]:
@@ -50,9 +52,9 @@ def _postings(weights: dict[str, float]) -> list[dict]:
     for label, phrase, text in TEMPLATES:
         words = text.split()
         needed = next(n for n in range(len(words) + 1) if n / len(words) >= SIMILARITY)
-        rarest = sorted(range(len(words)), key=lambda i: (-weights[words[i]], words[i], i))[:len(words) - needed + 1]
+        rarest = sorted(range(len(words)), key=lambda i: (-weights[words[i]], words[i], i))[:len(words) - needed + min(VOTES, needed)]
         places = {words[i]: sorted(j for j in rarest if words[j] == words[i]) for i in rarest}
-        made.append({"label": label, "phrase": phrase, "words": words, "places": places})
+        made.append({"label": label, "phrase": phrase, "words": words, "places": places, "votes": min(VOTES, needed)})
     return made
 
 
@@ -115,7 +117,10 @@ def _scored(df: DataFrame, weights: dict[str, float]) -> DataFrame:
 
     def starts(t: Column) -> Column:
         at = F.filter(F.col("hits"), lambda h: F.map_contains_key(t.places, h.w))
-        return F.array_distinct(F.flatten(F.transform(at, lambda h: F.transform(t.places[h.w], lambda p: h.i - p))))
+        each = F.array_sort(F.flatten(F.transform(at, lambda h: F.transform(t.places[h.w], lambda p: h.i - p))))
+        # a start that enough postings name stands so often in a row
+        agreed = F.transform(F.array(each), lambda e: F.filter(e, lambda s, i: F.get(e, i + t.votes - 1) == s))
+        return F.array_distinct(F.flatten(agreed))
 
     def share(t: Column, start: Column) -> Column:
         same = F.filter(t.words, lambda w, j: F.get(F.col("words"), start + j) == w)

@@ -224,6 +224,17 @@ def test_licenses_of_several_texts(spark):
     assert "unlicense" in out[0].labels
 
 
+def test_license_postings_meet_at_every_start_worth_comparing():
+    """Whatever words a text gets wrong: where enough are right, enough postings name the start."""
+    rng = random.Random(3)
+    weights = {w: rng.random() for w in licenses.WORDS}
+    for t in licenses._postings(weights):
+        posted = {j for places in t["places"].values() for j in places}
+        n = len(t["words"])
+        needed = next(k for k in range(n + 1) if k / n >= licenses.SIMILARITY)
+        assert len(posted) - (n - needed) == t["votes"] >= 1
+
+
 def test_decontamination(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(300)]
