@@ -118,23 +118,41 @@ def _texts_of(bits: bytes):
     return read
 
 
+def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(order, key in order)``, stable, for keys of at most ``bits`` bits."""
+    low = len(key).bit_length()
+    if bits + low > 63:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    both = key << low | np.arange(len(key))  # sorting numbers is several times faster than sorting places by them
+    both.sort()
+    return both & ((1 << low) - 1), both >> low
+
+
+def _ranks(key: np.ndarray, bits: int) -> np.ndarray:
+    """The place of each key among the distinct ones."""
+    order, key = _sorted(key, bits)
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(np.append(0, np.diff(key) != 0)) if len(key) else key
+    return rank
+
+
 def shared_windows(data: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """``(suffixes, same)``: the places of ``data`` in order of what follows, and whether each follows
     one that starts with the same ``size`` symbols. Symbols of 256 and more are separators, in no string.
 
     ``same`` comes from the Burrows-Wheeler transform alone, by backward extension."""
     n = len(data)
-    # seven symbols of nine bits make the first key
     key = np.zeros(n, np.int64)
-    for i in range(7):
+    for i in range(4):  # four symbols of nine bits make the first key
         key <<= 9
         key[:max(0, n - i)] |= data[i:].astype(np.int64) + 1
-    rank, reach = np.unique(key, return_inverse=True)[1].astype(np.int64), 7
-    while reach < size:  # orders by the first 112 symbols at least
+    rank, reach = _ranks(key, 36), 4
+    while reach < size:  # orders by the first 128 symbols at least
         after = np.zeros(n, np.int64)
         after[:max(0, n - reach)] = rank[reach:] + 1
-        rank, reach = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64), reach * 2
-    suffixes = np.argsort(rank, kind="stable")
+        rank, reach = _ranks(rank * (n + 1) + after, 2 * (n + 1).bit_length()), reach * 2
+    suffixes = _sorted(rank, n.bit_length())[0]
     bwt = data[suffixes - 1]
     to = np.empty(n, np.int64)  # where the suffix one symbol longer stands
     to[np.argsort(bwt, kind="stable")] = np.arange(n)
@@ -149,8 +167,8 @@ def shared_windows(data: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np
         key = np.repeat(np.arange(len(low)), count) * 512 + symbol
         known = symbol < 256
         key, inside = key[known], inside[known]
-        order = np.argsort(key, kind="stable")
-        key, inside = key[order], inside[order]
+        order, key = _sorted(key, len(low).bit_length() + 9)
+        inside = inside[order]
         head = np.flatnonzero(np.r_[True, np.diff(key) != 0]) if len(key) else np.zeros(0, np.int64)
         count = np.diff(np.r_[head, len(key)])
         low = to[inside[head]]
