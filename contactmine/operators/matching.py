@@ -202,20 +202,29 @@ def _grams_of_all(pieces: Column, size: int) -> Column:
     return F.flatten(F.transform(pieces, lambda piece: _grams(piece, size)))
 
 
+def _sized(listed: DataFrame) -> DataFrame:
+    longest = F.array_max(F.transform("pieces", F.length))
+    return listed.withColumn("_size", F.least(F.lit(GRAM), longest))
+
+
+def _has_size(listed: DataFrame, size: int) -> Column:
+    """Whether some entry's grams have that size: one of the few distinct sizes, looked up when the plan runs."""
+    sizes = _sized(listed).select("_size").distinct().filter(F.col("_size") == size)
+    return F.coalesce(sizes.select(F.lit(True).alias("found")).scalar(), F.lit(False))
+
+
 def _index(listed: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Grams of the keys ``[_id, _fragment]`` and the entries ``[_fragment, _part, _entries]`` filed under them.
 
     An entry's grams are as long as its longest piece allows, GRAM at most."""
-    longest = F.array_max(F.transform("pieces", F.length))
-    sized = listed.withColumn("_size", F.least(F.lit(GRAM), longest))
+    sized = _sized(listed)
     pieces = F.col("pieces")
     cut = F.when(F.col("_size") == GRAM, _grams_of_all(pieces, GRAM))
     found = _grams(F.col("_key"), GRAM)
     none = F.array().cast("array<string>")
     for size in range(1, GRAM):
         cut = cut.when(F.col("_size") == size, _grams_of_all(pieces, size))
-        asked = sized.agg(F.coalesce(F.bool_or(F.col("_size") == size), F.lit(False))).scalar()
-        found = F.concat(found, F.when(asked, _grams(F.col("_key"), size)).otherwise(none))
+        found = F.concat(found, F.when(_has_size(listed, size), _grams(F.col("_key"), size)).otherwise(none))
     filed = sized.filter(F.col("_size") > 0).select("entry", "pieces", F.explode(F.array_distinct(cut)).alias("_fragment"))
     grams = _explode(keys, found)
     counts = grams.join(filed.select("_fragment").distinct(), "_fragment", "left_semi").groupBy("_fragment").agg(F.count(F.lit(1)).alias("_n"))
@@ -251,7 +260,7 @@ def _flag_by_grams(
     passed = F.exists("_entries", lambda entry: test(F.col("_key"), entry))
     hits = keys.join(met, "_id").filter(passed).select("_key").distinct()
     # an entry without any character holds for every key
-    every = listed.agg(F.coalesce(F.bool_or(F.array_join("pieces", "") == ""), F.lit(False))).scalar()
+    every = _has_size(listed, 0)
     hits = hits.select(F.col("_key").alias("_entry"), F.lit(True).alias("_hit"))
     flagged = _join_back(df, fold(key), hits, flag)
     return flagged.withColumn(flag, F.col(flag) | (every & key.isNotNull()))
