@@ -3,9 +3,11 @@
 A candidate is a run of 16 or more characters of tokens. The network reads it together with
 its surroundings, as characters, a long one by windows that overlap and leave nothing out; the
 best window counts. It is trained on the windows of labelled findings: those that a rule
-confirms against those of candidates that none does, at most ``sample`` of either (those with the
-smallest hashes). Its scores are calibrated on findings held back, and the threshold is the
-highest that still finds RECALL of the held-back secrets. Scoring is row by row.
+confirms against those of candidates that none does, on all of either. These are dealt to shards of
+bounded size; in every epoch each shard takes the same network through its own windows, and the
+networks they come to are averaged. Where one label has fewer windows than its share of the shards,
+several shards get the same ones. The scores are calibrated on all findings held back, and the threshold is
+the highest that still finds RECALL of the held-back secrets. Scoring is row by row.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactmine.llm.common import texts
+from contactmine.llm.common import ranked, saved, texts
 
 ASSIGN = re.compile(
     r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,11 +33,12 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 KINDS = ("assign", "access", "hex", "network")
 
-SAMPLE, HOLD = 3000, 4
+SHARD, HOLD = 2250, 4  # windows of either label in a shard; one of how many is held back
 BEFORE, INSIDE, AFTER = 24, 48, 8
 STEP, SCORED = 16, 4096
 WIDTH, EMBED, FILTERS, HIDDEN_RATE = 5, 8, 16, 0.01
 EPOCHS, BATCH = 6, 128
+NEWTON, SETTLED = 50, 1e-9
 RECALL = 0.98
 FEWEST = 20
 
@@ -109,8 +112,20 @@ class Network:
             "out": rng.normal(0, FILTERS ** -0.5, FILTERS).astype(np.float32),
             "bias": np.zeros(1, np.float32),
         }
+        self.mean, self.square = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         self.slope, self.offset, self.threshold = 1.0, 0.0, 0.5
 
+    def state(self) -> np.ndarray:
+        """Parameters and what Adam keeps of their gradients, as one vector."""
+        return np.concatenate([v.ravel() for held in (self.p, self.mean, self.square) for v in held.values()]).astype(np.float64)
+
+    def restore(self, state: np.ndarray) -> None:
+        at = 0
+        for held in (self.p, self.mean, self.square):
+            for k, v in held.items():
+                held[k] = state[at:at + v.size].reshape(v.shape).astype(np.float32)
+                at += v.size
+
     def _forward(self, codes: np.ndarray) -> tuple:
         n, length = codes.shape
         x = np.concatenate([self.p["embed"][codes], np.broadcast_to(self.place, (n, length, 1))], axis=2)
@@ -124,8 +139,11 @@ class Network:
         return np.concatenate([self._forward(codes[i:i + 512])[3] for i in range(0, len(codes), 512)]) if len(codes) else np.zeros(0)
 
     def scores(self, codes: np.ndarray) -> np.ndarray:
-        """Calibrated probabilities."""
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(codes).astype(np.float64) + self.offset, -40, 40)))
+        return self.calibrated(self.raw(codes))
+
+    def calibrated(self, raw: np.ndarray) -> np.ndarray:
+        """Probabilities."""
+        return 1 / (1 + np.exp(-np.clip(self.slope * raw.astype(np.float64) + self.offset, -40, 40)))
 
     def _gradients(self, codes: np.ndarray, truth: np.ndarray) -> dict[str, np.ndarray]:
         spans, at, top, raw = self._forward(codes)
@@ -140,32 +158,18 @@ class Network:
         np.add.at(d_embed, chosen.ravel(), d_hit.reshape(-1, EMBED))
         return {"embed": d_embed, "conv": d_conv, "shift": d_top.sum(axis=0), "out": np.maximum(top, 0).T @ error, "bias": error.sum(keepdims=True)}
 
-    def fit(self, codes: np.ndarray, truth: np.ndarray) -> None:
+    def fit(self, codes: np.ndarray, truth: np.ndarray, epoch: int) -> None:
+        """One epoch, the first being 0."""
         rng = np.random.default_rng(1)
-        mean, square = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
-        step = 0
-        for _ in range(EPOCHS):
+        for _ in range(epoch + 1):
             order = rng.permutation(len(codes))
-            for i in range(0, len(order), BATCH):
-                step += 1
-                part = order[i:i + BATCH]
-                for k, g in self._gradients(codes[part], truth[part]).items():
-                    mean[k] = 0.9 * mean[k] + 0.1 * g
-                    square[k] = 0.999 * square[k] + 0.001 * g * g
-                    self.p[k] = self.p[k] - HIDDEN_RATE * (mean[k] / (1 - 0.9 ** step)) / (np.sqrt(square[k] / (1 - 0.999 ** step)) + 1e-8)
-
-    def calibrate(self, codes: np.ndarray, truth: np.ndarray) -> None:
-        """Logistic calibration by Newton steps, then the highest threshold with enough recall."""
-        raw, ab = self.raw(codes).astype(np.float64), np.array([1.0, 0.0])
-        x = np.stack([raw, np.ones_like(raw)], axis=1)
-        soft = np.where(truth > 0, 1 - 1 / (truth.sum() + 2), 1 / ((1 - truth).sum() + 2))  # keeps the slope finite
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(x @ ab, -40, 40)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (p - soft))
-            ab = ab - np.clip(step, -1, 1)
-        self.slope, self.offset = ab.tolist()
-        secrets = np.sort(self.scores(codes)[truth > 0])
-        self.threshold = float(secrets[int(len(secrets) * (1 - RECALL))])
+        starts = range(0, len(order), BATCH)
+        for step, i in enumerate(starts, epoch * len(starts) + 1):
+            part = order[i:i + BATCH]
+            for k, g in self._gradients(codes[part], truth[part]).items():
+                self.mean[k] = 0.9 * self.mean[k] + 0.1 * g
+                self.square[k] = 0.999 * self.square[k] + 0.001 * g * g
+                self.p[k] = self.p[k] - HIDDEN_RATE * (self.mean[k] / (1 - 0.9 ** step)) / (np.sqrt(self.square[k] / (1 - 0.999 ** step)) + 1e-8)
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,20 +192,95 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.bool_()), pa.array(windows, pa.binary())], ["secret", "codes"])
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
+def _codes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BEFORE + INSIDE + AFTER)
+
+
+def _shards(sizes: dict[bool, int]) -> int:
+    return -(-max(sizes.values()) // SHARD)
+
+
+def dealt(shown: DataFrame, sizes: dict[bool, int]) -> DataFrame:
+    """``[secret, at, codes, shard]``: every window, numbered ``at`` from 0 in its label, in one shard or more.
+
+    ``sizes`` are the labels' numbers of windows. A shard has SHARD windows of a label at most, and of each label
+    as many as any other shard, give or take one."""
+    shards = _shards(sizes)
+    copies = {k: shards * min(SHARD, n) // n for k, n in sizes.items()}
+    mine = F.when(F.col("secret"), copies[True]).otherwise(copies[False])
+    places = F.transform(F.sequence(F.lit(0), mine - 1), lambda i: (F.col("at") * mine + i) % shards)
+    return shown.select("secret", "at", "codes", F.explode(places).alias("shard"))
+
+
+def _epoch(state: np.ndarray, epoch: int):
+    """What a shard's windows make of a network in one epoch."""
+    def learn(shard: pa.Table) -> pa.Table:
+        rows = shard.sort_by([("secret", "ascending"), ("at", "ascending")])
+        network = Network()
+        network.restore(state)
+        network.fit(_codes(rows.column("codes")), rows.column("secret").to_numpy().astype(np.float64), epoch)
+        return pa.table({"i": pa.array(np.arange(len(state)), pa.int32()), "v": pa.array(network.state(), pa.float64())})
+
+    return learn
+
+
+def fit(windows: DataFrame, shards: int) -> Network:
+    """A network of the windows that are dealt to shards. Each epoch, the mean of their networks comes to the driver."""
+    network = Network()
+    for epoch in range(EPOCHS):
+        learned = windows.groupBy("shard").applyInArrow(_epoch(network.state(), epoch), "i int, v double")
+        # decimal sums don't depend on their order
+        sums = learned.groupBy("i").agg(F.sum(F.col("v").cast("decimal(38,28)")).alias("v"))
+        state = np.zeros(len(network.state()))
+        for r in sums.collect():  # a row for each number of the network's state
+            state[r.i] = float(r.v) / shards
+        network.restore(state)
+    return network
+
+
+def _judged(network: Network):
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = network.raw(_codes(batch.column("codes"))).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column("secret"), batch.column("codes"), pa.array(raw, pa.float64())], ["secret", "codes", "raw"])
+
+    return judge
+
+
+def calibrate(network: Network, hidden: DataFrame, sizes: dict[bool, int]) -> None:
+    """Logistic calibration by Newton steps, then the highest threshold with enough recall, both over all of ``[secret, codes]``."""
+    held = saved(hidden.select("secret", "codes").mapInArrow(_judged(network), "secret boolean, codes binary, raw double"), "held")
+    soft = F.when(F.col("secret"), 1 - 1 / (sizes[True] + 2)).otherwise(1 / (sizes[False] + 2))  # keeps the slope finite
+    ab, x = np.array([1.0, 0.0]), F.col("raw")
+    for _ in range(NEWTON):
+        z = F.least(F.greatest(x * float(ab[0]) + float(ab[1]), F.lit(-40.0)), F.lit(40.0))
+        rows = held.withColumn("p", 1 / (1 + F.exp(-z))).withColumn("w", F.col("p") * (1 - F.col("p"))).withColumn("e", F.col("p") - soft)
+        terms = (F.col("w") * x * x, F.col("w") * x, F.col("w"), F.col("e") * x, F.col("e"))
+        xx, x1, one, ex, e = (float(v) for v in rows.agg(*(F.sum(t.cast("decimal(38,20)")) for t in terms)).first())
+        step = np.linalg.solve(np.array([[xx, x1], [x1, one]]) + 1e-6 * np.eye(2), np.array([ex, e]))
+        ab = ab - np.clip(step, -1, 1)
+        if np.abs(step).max() < SETTLED:
+            break
+    network.slope, network.offset = ab.tolist()
+    secrets = held.where("secret").withColumn("order", x if network.slope >= 0 else -x)
+    least = ranked(secrets, "secret", ["order", "codes"]).where(F.col("at") == F.floor(F.col("size") * (1 - RECALL)))
+    network.threshold = float(network.calibrated(np.array([least.first().raw]))[0])
+
+
+def train(docs: DataFrame) -> Network | None:
     """A network of the candidates' windows in ``[text]``; None if either label is on fewer than
-    FEWEST windows. At most ``sample`` different windows of either label are used."""
-    found = docs.select("text").mapInArrow(_labelled, "secret boolean, codes binary").distinct()
-    first = Window.partitionBy("secret").orderBy(F.xxhash64("codes"), "codes")
-    rows = found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample).orderBy("secret", "rank").collect()
-    hidden = [r for r in rows if r.rank % HOLD == 0]
-    shown = [r for r in rows if r.rank % HOLD]
-    arrays = [(np.array([np.frombuffer(r.codes, np.uint8) for r in part]), np.array([float(r.secret) for r in part])) for part in (shown, hidden)]
-    if any(min(truth.sum(), (1 - truth).sum()) < FEWEST / HOLD for _, truth in arrays):
+    FEWEST windows. All different windows of either label are used, one of HOLD to calibrate."""
+    found = saved(docs.select("text").mapInArrow(_labelled, "secret boolean, codes binary").distinct(), "windows")
+    counted = {r.secret: r["count"] for r in found.groupBy("secret").count().collect()}
+    if min(counted.get(k, 0) for k in (False, True)) < FEWEST:
         return None
-    network = Network()
-    network.fit(*arrays[0])
-    network.calibrate(*arrays[1])
+    rows = ranked(found.withColumn("hash", F.xxhash64("codes")), "secret", ["hash", "codes"])
+    turn, before = (F.col("at") + 1) % HOLD, F.floor((F.col("at") + 1) / HOLD)  # how many are held back up to here
+    hidden = {k: n // HOLD for k, n in counted.items()}
+    shown = {k: n - hidden[k] for k, n in counted.items()}
+    windows = saved(dealt(rows.where(turn != 0).withColumn("at", F.col("at") - before), shown), "dealt")
+    network = fit(windows, _shards(shown))
+    calibrate(network, rows.where(turn == 0), hidden)
     return network
 
 
@@ -247,7 +326,7 @@ def _scanner(network: Network | None):
     return scan
 
 
-def secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def secrets(docs: DataFrame) -> DataFrame:
     """``[doc_id, n_assign, n_access, n_hex, base_sha256, spans]`` of every row.
 
     ``spans`` has what the rules find and, as ``network``, the candidates not wholly covered by
@@ -257,6 +336,6 @@ def secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     rows = texts(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(
-        _scanner(train(rows, sample)),
+        _scanner(train(rows)),
         f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
     )

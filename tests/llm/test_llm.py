@@ -446,6 +446,55 @@ def test_secret_network_learns(spark):
     assert all("assign" in out[i] and "hex" in out[i] for i in range(400))
 
 
+def test_secret_network_learns_from_every_window(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("aeiou", k=1) + rng.choices("bcdfgl", k=1))
+    code = lambda text: secrets.window(text, *secrets.candidates(text)[0])
+    first = lambda text: (xxhash.xxh64_intdigest(code(text), 42) + 2**63) % 2**64
+    words = [f"note = {''.join(word() for _ in range(12))} end" for _ in range(4000)]
+    last = sorted(map(first, words))[2999]
+    # another kind that no rule finds, all beyond the 3,000 windows with the smallest hashes
+    other = [text for text in (f"see ({rng.getrandbits(128):032X}) end" for _ in range(1200)) if first(text) > last]
+    assert 200 < len(other) < 500
+    texts = words + other + [f"token = {rng.getrandbits(128):032X} end" for _ in range(1200)]
+    network = secrets.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    taken = network.scores(np.array([np.frombuffer(code(t), np.uint8) for t in other])) >= network.threshold
+    assert taken.mean() < 0.05
+
+
+def test_secret_windows_are_dealt_whole_and_evenly(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "SHARD", 30)
+    for sizes in ({False: 30, True: 7}, {False: 31, True: 30}, {False: 1000, True: 9}, {False: 200, True: 47}, {False: 40, True: 500}):
+        rows = [(k, i, b"") for k, n in sizes.items() for i in range(n)]
+        shards, counts, windows = collections.defaultdict(collections.Counter), collections.Counter(), set()
+        for r in secrets.dealt(spark.createDataFrame(rows, "secret boolean, at long, codes binary"), sizes).collect():
+            assert (r.secret, r.at, r.shard) not in windows
+            windows.add((r.secret, r.at, r.shard))
+            shards[r.secret][r.shard] += 1
+            counts[r.secret, r.at] += 1
+        most = max(sizes.values())
+        assert set(counts) == {(k, i) for k, i, _ in rows}
+        assert all(n == 1 for (k, _), n in counts.items() if sizes[k] == most)
+        for k, n in sizes.items():
+            loads = [shards[k][i] for i in range(-(-most // 30))]
+            assert max(loads) <= 30 and max(loads) - min(loads) <= 1 and min(loads) >= min(n, 30) // 2
+
+
+def test_secret_threshold_is_of_all_held_back(spark):
+    rng = np.random.default_rng(4)
+    network, sizes = secrets.Network(), {False: 900, True: 3100}
+    network.restore(network.state() + rng.normal(0, 0.1, len(network.state())))
+    codes = rng.integers(32, 127, (4000, secrets.BEFORE + secrets.INSIDE + secrets.AFTER), np.uint8)
+    rows = [(i < 3100, c.tobytes()) for i, c in enumerate(codes)]
+    secrets.calibrate(network, spark.createDataFrame(rows, "secret boolean, codes binary").repartition(8), sizes)
+    scores = np.sort(network.scores(codes[:3100]))
+    assert network.threshold == pytest.approx(scores[int(3100 * (1 - secrets.RECALL))], rel=1e-5)
+    # at the least loss, labels and probabilities have equal sums
+    soft = np.where(np.arange(4000) < 3100, 1 - 1 / 3102, 1 / 902)
+    off = network.scores(codes) - soft
+    assert abs(off.sum()) < 1e-2 and abs((off * network.raw(codes)).sum()) < 1e-2
+
+
 def test_secrets_inside_long_candidates():
     class Upper:  # takes a window with 24 capitals in a row for a secret
         threshold = 0.5
