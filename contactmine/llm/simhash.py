@@ -10,6 +10,10 @@ two segments that differ in a bit one has a zero there, so every link is met fro
 Values of a segment that many fingerprints share (``crowded``) are looked up together with a
 16-bit quarter of the other segment, again up to one bit: three differing bits leave one of
 the two quarters with at most one. That way is exact too and reads no list of all members.
+
+Spark takes an exploded table to be as large as the one it comes from, and a written one to be
+as large as its compressed files. Joins whose sides grow with the documents are therefore
+hinted as merge joins: none of them is sent to the driver to be broadcast.
 """
 
 from __future__ import annotations
@@ -94,7 +98,7 @@ def _verified(index: DataFrame, probes: DataFrame, on: list[str], distance: int)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     once = ~F.col("own") | (F.col("a") < F.col("b"))
     same = [F.col(f"i.{c}") == F.col(f"p.{c}") for c in on]
-    return a.alias("i").join(b.alias("p"), [*same, near, once]).select("a", "b")
+    return a.alias("i").join(b.alias("p").hint("merge"), [*same, near, once]).select("a", "b")
 
 
 def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
@@ -120,11 +124,11 @@ def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     rows = saved(fingerprints(docs), "fingerprints")
     classes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     roots = components(links(classes.select("fp"), crowded))
-    placed = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    placed = classes.join(roots.hint("merge"), classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     placed = saved(placed, "placed")
     ids = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     # few classes are in components of more than one: only they need the join
-    named = placed.join(ids, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(
+    named = placed.join(ids.hint("merge"), "root").select("fp", "component_id")
+    return rows.join(named.hint("merge"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -343,6 +343,20 @@ def test_links_between_close_fingerprints(spark, crowded):
     assert {(min(r), max(r)) for r in got} == pairs
 
 
+def test_links_broadcast_no_side_that_grows(spark, tmp_path):
+    spark.createDataFrame([(i << 40 | i,) for i in range(2000)], "fp long").write.parquet(str(tmp_path / "fps"))
+    found = simhash.links(spark.read.parquet(str(tmp_path / "fps")))
+    plan = found._jdf.queryExecution().sparkPlan()  # the size of the tables alone would make them broadcasts
+    joins = re.findall(r"(\w+Join) .*\b(Inner|LeftOuter)\b", plan.toString())
+    assert joins == [("SortMergeJoin", "Inner")] * 2
+
+
+def test_near_duplicates_broadcast_no_side_that_grows(spark, docs):
+    plan = simhash.near_duplicates(docs)._jdf.queryExecution().sparkPlan().toString()
+    joins = re.findall(r"(\w+Join) .*\b(Inner|LeftOuter)\b", plan)
+    assert joins and {name for name, _ in joins} == {"SortMergeJoin"}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(200, 100 + i) for i in range(50)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
