@@ -7,12 +7,17 @@ windows of one anchor make one stretch of text, a mini. Only hashes of anchors a
 for about 35 bytes of text, are shuffled; whole minis that occurred before are repeats.
 
 Second, minis of one anchor that differ can still share windows. These alone are gathered as
-text, distinct, and in tasks that own anchor hashes joined to a text whose Burrows-Wheeler
-transform is made. Intervals of suffixes are extended backwards, breadth first: those of strings
-of length l give the common prefixes of value l, so the values come in increasing order, and the
-expansion stops at WINDOW. Where no value below it was assigned, neighbouring suffixes share a
-window. Anchors with more than CROWDED different minis, as at the edges of a passage that
-very many documents hold, are dealt out again by the contents of each window.
+text, each cut out of the document that has it first, and in tasks that own anchor hashes
+joined to a text whose Burrows-Wheeler transform is made. Intervals of suffixes are extended
+backwards, breadth first: those of strings of length l give the common prefixes of value l, so
+the values come in increasing order, and the expansion stops at WINDOW. Where no value below it
+was assigned, neighbouring suffixes share a window. Anchors with more than CROWDED different
+minis, as at the edges of a passage that very many documents hold, are dealt out again by the
+contents of each window.
+
+Joins, not bitmaps, choose what goes from one step to the next: a bitmap of fixed size fills up
+as the input grows and then lets all pass. They are hinted as merge joins, for both sides grow
+with the documents. The files of a step's shuffles go when its table is written.
 """
 
 from __future__ import annotations
@@ -23,11 +28,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactmine.llm.common import bitmap_of, in_bitmap, numbered, saved, texts
+from contactmine.llm.common import bitmap_of, in_bitmap, numbered, saved, shuffles_dropped, texts
 
 WINDOW, GRAM = 100, 32
 PLACES = WINDOW - GRAM + 1
@@ -102,20 +108,24 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], ["h", "g", "doc", "first", "more"])
 
 
-def _texts_of(bits: bytes):
-    wanted = np.frombuffer(bits, np.uint8)
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bodies, places = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("places")
+        row = pc.list_parent_indices(places).to_numpy()
+        h, place, minis = places.flatten().flatten()
+        first, more = place.to_numpy() >> 32, place.to_numpy() & 0xFFFFFFFF
+        cut = [bodies[r][a:b] for r, a, b in zip(row.tolist(), first.tolist(), (first + more + WINDOW).tolist())]
+        yield pa.RecordBatch.from_arrays(
+            [h, minis, batch.column("doc").take(pa.array(row)), pa.array(first.astype(np.int32)), pa.array(cut, pa.binary())],
+            ["h", "minis", "doc", "first", "mini"],
+        )
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, body, starts, first, last, frame in _minis(batches):
-            slot = frame["h"].to_numpy() & ((1 << FILTER_BITS) - 1)
-            keep = np.flatnonzero((wanted[slot >> 3] >> (slot & 7) & 1).astype(bool) & ~frame.duplicated().to_numpy())
-            row = frame["row"].to_numpy()[keep]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(frame["h"].to_numpy()[keep]), pa.array(ids[row]), pa.array((first[keep] - starts[row]).astype(np.int32)),
-                pa.array([body[a:b + WINDOW] for a, b in zip(first[keep].tolist(), last[keep].tolist())], pa.binary()),
-            ], ["h", "doc", "first", "mini"])
 
-    return read
+def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``[h, minis, doc, first, mini]``: the bytes of each mini of ``[h, minis, first_doc, place]``."""
+    places = wanted.groupBy("first_doc").agg(F.collect_list(F.struct("h", "place", "minis")).alias("places"))
+    found = rows.join(places.hint("merge"), F.col("doc") == F.col("first_doc")).select("doc", "text", "places")
+    return found.mapInArrow(_cut_out, "h bigint, minis bigint, doc bigint, first int, mini binary")
 
 
 def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +249,8 @@ def _crowded(minis: DataFrame) -> DataFrame:
 
     Windows of one document are combined first, so a place is a document and its first start."""
     rows = minis.select("doc", "first", "mini").mapInArrow(_windows, "w binary, doc bigint, a int")
-    rows = saved(rows.select(F.sha2("w", 256).alias("w"), "doc", "a"), "windows")
+    digest = F.substring(F.unhex(F.sha2("w", 256)), 1, 16)  # as many bits as h and g have
+    rows = saved(rows.select(digest.alias("w"), "doc", "a"), "windows")
     firsts = rows.groupBy("w").agg(F.min("doc").alias("first_doc"), F.min_by("a", F.struct("doc", "a")).alias("first_a"), F.count("*").alias("n"))
     found = rows.join(firsts.where("n > 1"), "w").where("doc <> first_doc OR a <> first_a")
     return found.select("doc", "a", (F.col("a") + WINDOW).alias("b"))
@@ -251,29 +262,23 @@ def repeated_spans(rows: DataFrame, crowded: int = CROWDED) -> DataFrame:
     marks = saved(rows.mapInArrow(_hashes, ANCHOR), "anchors", **DELTAS)
     span = (F.col("first").alias("a"), (F.col("first") + F.col("more") + WINDOW).alias("b"))
     local = marks.where("g IS NULL").select("doc", *span)
+    firsts = marks.where("g IS NOT NULL")
     # an anchor of one mini needs no more
-    seen = marks.where("g IS NOT NULL").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    seen = saved(seen, "seen")
-    again = in_bitmap(marks.where("g IS NOT NULL"), "h", bitmap_of(seen, "h", FILTER_BITS), FILTER_BITS)
-    again = saved(again, "again", **DELTAS)
-    groups = saved(again.groupBy("h", "g").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")), "groups")
-    whole = again.join(groups.where("n > 1").drop("n"), ["h", "g"]).where("doc <> first_doc").select("doc", *span)
-    # anchors whose minis differ
-    differ = saved(groups.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "differ")
-    bits = bytearray(1 << (FILTER_BITS - 3))
-    for part in bitmap_of(differ, "h", FILTER_BITS).collect():  # 2 MB whatever the input
-        at = (part.part - 1) * 4096
-        bits[at:at + 4096] = part.bits
-    minis = rows.mapInArrow(_texts_of(bytes(bits)), "h bigint, doc bigint, first int, mini binary")
-    # copies are combined in each task; the earliest place of each mini stands for it
-    minis = minis.groupBy("h", "mini").agg(F.min_by("first", F.struct("doc", "first")).alias("first"), F.min("doc").alias("doc"))
-    minis = saved(minis, "minis")
-    sizes = minis.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    full = saved(sizes.where(F.col("n") > crowded).select("h"), "full")
-    few = minis.join(sizes.where(F.col("n") <= crowded).select("h"), "h").select("h", "doc", "first", "mini")
+    seen = saved(firsts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "seen")
+    again = saved(firsts.join(seen.hint("merge"), "h", "left_semi"), "again", **DELTAS)
+    place = F.shiftleft(F.col("first").cast("bigint"), 32).bitwiseOR(F.col("more").cast("bigint"))
+    groups = again.groupBy("h", "g").agg(F.min("doc").alias("first_doc"), F.min_by(place, "doc").alias("place"), F.count("*").alias("n"))
+    groups = saved(groups, "groups")
+    copied = groups.where("n > 1").select("h", "g", "first_doc")
+    whole = again.join(copied.hint("merge"), ["h", "g"]).where("doc <> first_doc").select("doc", *span)
+    # anchors whose minis differ; the earliest place of each mini stands for it
+    differ = saved(groups.groupBy("h").agg(F.count("*").alias("minis")).where("minis > 1"), "differ")
+    wanted = groups.join(differ.hint("merge"), "h").select("h", "minis", "first_doc", "place")
+    minis = saved(_texts_of(rows, wanted), "minis")
+    few = minis.where(F.col("minis") <= crowded).select("h", "doc", "first", "mini")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     expanded = few.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_expand, SPAN)
-    return local.unionAll(whole).unionAll(expanded).unionAll(_crowded(minis.join(full, "h")))
+    return local.unionAll(whole).unionAll(expanded).unionAll(_crowded(minis.where(F.col("minis") > crowded)))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,9 +306,10 @@ def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     Null and empty texts have no bytes. Rows without doc_id come before all others. Rows that
     share a doc_id, or have none, are documents each, in order of their texts' hashes: of rows that repeat one
     keeps its bytes. An empty table gives an empty result; other columns are ignored."""
-    rows = numbered(texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint")), "doc")
-    spans = saved(repeated_spans(rows.select("doc", "text"), crowded), "spans")
-    spans = saved(spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "doc_spans")
+    with shuffles_dropped(docs.sparkSession):
+        rows = numbered(texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint")), "doc")
+        spans = saved(repeated_spans(rows.select("doc", "text"), crowded), "spans")
+        spans = saved(spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "doc_spans")
     # documents without a span never leave their scan
     bits = bitmap_of(spans.select(F.xxhash64("doc").alias("h")), "h", FILTER_BITS)
     marked = rows.withColumn("h", F.xxhash64("doc"))

@@ -3,8 +3,10 @@
 import collections
 import gzip
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from contactmine.llm import bpe, decontamination, exact, language, licenses, records, secrets, simhash, suffixes, warc
+from contactmine.llm import bpe, common, decontamination, exact, language, licenses, records, secrets, simhash, suffixes, warc
 from contactmine.llm.components import components
 from contactmine.llm.queries import ORACLES, QUERIES
 
@@ -415,6 +417,43 @@ def test_suffixes(docs, spark, crowded):
     assert found(suffixes.remove_repeats(frame, crowded), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
 
 
+def test_suffix_tables_hold_only_what_repeats(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "FILTER_BITS", 12)  # full, as 24 bits are with the keys of some GB
+    tables = {}
+
+    def saved(df, name, **options):
+        tables[name] = common.saved(df, name, **options)
+        return tables[name]
+
+    monkeypatch.setattr(suffixes, "saved", saved)
+    rng = random.Random(3)
+    word = lambda k: "".join(rng.choices("abcdefghij ", k=k))
+    passage = word(300)
+    texts = [word(2000) for _ in range(200)] + [word(500) + passage + word(500) for _ in range(40)]
+    suffixes.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    counts = collections.Counter(r.h for r in tables["anchors"].where("g IS NOT NULL").select("h").collect())
+    again = collections.Counter(r.h for r in tables["again"].select("h").collect())
+    assert again and again == {h: n for h, n in counts.items() if n > 1}
+    differ = {r.h for r in tables["differ"].collect()}
+    minis = tables["minis"].select("h", "mini").collect()
+    assert {r.h for r in minis} == differ and len(set(minis)) == len(minis) < len(texts) * 10
+
+
+def test_shuffle_files_go_with_their_action(spark):
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for top in folders for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    before, key = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    value = spark.conf.get(key)
+    counted = spark.range(100_000).groupBy(F.col("id") % 1000).count()
+    with common.shuffles_dropped(spark):
+        made = common.saved(counted, "counted")
+    deadline = time.time() + 20
+    while files() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get(key) == value and made.count() == 1000
+
+
 def test_suffixes_of_rows_that_share_an_id(spark):
     rng = random.Random(11)
     word = lambda k: "".join(rng.choices("abcdefghij ", k=k))
