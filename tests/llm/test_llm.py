@@ -594,6 +594,18 @@ def test_pipeline(spark, tmp_path):
     assert all(r.decoded_sha256 == hashlib.sha256(rows[r.doc_id].encode()).hexdigest() for r in out)
 
 
+def test_pipeline_broadcasts_no_probes(spark, docs, monkeypatch):
+    plans = []
+
+    def saved(df, name, **options):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return common.saved(df, name, **options)
+
+    monkeypatch.setattr("contactmine.llm.components.saved", saved)
+    corpus_pipeline.without_near_copies(spark, docs, FOLDER)
+    assert re.findall(r"(\w+Join) .*\b(Inner|LeftOuter)\b", plans[0]) == [("SortMergeJoin", "Inner")] * 2
+
+
 def test_pipeline_stages_judge_rows(spark, tmp_path):
     """Rows without doc_id or with a shared one: copies, near copies and leaks go, clean rows stay, extra columns too."""
     rng = random.Random(12)
